@@ -121,6 +121,17 @@ def hypergeometric(good: Column, bad: Column, draws: Column, *key: Column) -> Co
     return F.when(low >= high, high).when(deviation > WIDE, wide).otherwise(exact).cast("long")
 
 
+def _chain(seed: int, depth: int):
+    """A step of the chain of draws over a node's sources."""
+
+    def step(a: Column, x: Column) -> Column:
+        got = hypergeometric(x, a["rest"] - x, a["draws"], F.lit(seed), F.lit(depth), F.col("first"), F.size(a["left"]))
+        # bound once: a struct's field may be used as often as needed
+        return F.transform(F.array(got), lambda g: F.struct((a["draws"] - g).alias("draws"), (a["rest"] - x).alias("rest"), F.concat(a["left"], F.array(g)).alias("left")))[0]
+
+    return step
+
+
 def splitting_tree(sources: DataFrame, shards: int, seed: int) -> DataFrame:
     """(skey, bounds): for each source the ranks at which the shards' intervals end, in shard order."""
     order = F.sort_array(F.collect_list(F.struct("rank", "skey", "quota")))
@@ -133,12 +144,7 @@ def splitting_tree(sources: DataFrame, shards: int, seed: int) -> DataFrame:
         draws = F.floor(F.col("total") / 2) + F.when(F.col("total") % 2 == 1, F.pmod(F.xxhash64(F.lit(seed), F.lit(depth), "first"), F.lit(2))).otherwise(F.lit(0))
         init = F.struct(draws.cast("long").alias("draws"), F.col("total").alias("rest"), F.array().cast("array<bigint>").alias("left"))
 
-        def chain(a: Column, x: Column, depth: int = depth) -> Column:
-            got = hypergeometric(x, a["rest"] - x, a["draws"], F.lit(seed), F.lit(depth), F.col("first"), F.size(a["left"]))
-            # bound once: a struct's field may be used as often as needed
-            return F.transform(F.array(got), lambda g: F.struct((a["draws"] - g).alias("draws"), (a["rest"] - x).alias("rest"), F.concat(a["left"], F.array(g)).alias("left")))[0]
-
-        node = node.withColumn("left", F.aggregate("q", init, chain, lambda a: a["left"]))
+        node = node.withColumn("left", F.aggregate("q", init, _chain(seed, depth), lambda a: a["left"]))
         right = F.zip_with("q", "left", lambda a, b: a - b)
         both = F.array(F.struct(F.col("first").alias("first"), F.col("left").alias("q")), F.struct((F.col("first") + F.col("n") / 2).cast("long").alias("first"), right.alias("q")))
         node = node.select(F.explode(both).alias("c"), (F.col("n") / 2).cast("long").alias("n"), "keys").select("c.first", "n", "c.q", "keys")
