@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .media import op1_media
 from .mixing import op10_mixing
+from .packing import op2_packing
+from .quality import op9_quality
 from .secrets import op3_secrets
 from .warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op2_packing": op2_packing,
     "op3_secrets": op3_secrets,
     "op8_warc": op8_warc,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
 
