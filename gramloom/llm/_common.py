@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key that holds at least 1/HEAVY of all rows is heavy; there are at most HEAVY such keys,
 #: so a table of them may be broadcast whatever the size of the input.
@@ -65,6 +68,37 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight:
     return left.join(F.broadcast(heavy), list(keys)).unionByName(left.join(light, list(keys)))
 
 
+#: Bits of a filter over keys, whatever the input: 512 KB. A fuller filter lets more rows pass, never fewer.
+FILTER_BITS = 1 << 22
+
+
+def _bit(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+
+
+def bit_filter(df: DataFrame, keys: Sequence[str]) -> np.ndarray:
+    """The bits of the hashes of ``keys`` in ``df``, as packed bytes; see ``flagged``."""
+    at = _bit(keys) + 1  # Spark's bitmaps number from 1
+    parts = df.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:  # FILTER_BITS / 32768 rows at most
+        out[(r.part - 1) * len(r.bits) : r.part * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def flagged(df: DataFrame, keys: Sequence[str], bits: np.ndarray) -> DataFrame:
+    """Adds ``flag``: true for every row whose keys were in the filter's table, and for a few others."""
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+    df = df.withColumn("flag", _bit(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(len(batch.columns) - 1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)], batch.schema.names)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields[:-1], T.StructField("flag", T.BooleanType())]))
+
+
 def utf8(text: Column) -> Column:
     """A string column with null read as empty."""
     return F.coalesce(text, F.lit(""))

@@ -93,3 +93,15 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndar
         inside = j < size
         out += np.where(inside, hashes[np.minimum(at + j, max(0, len(hashes) - 1))] * COMBINE[j], 0) if len(hashes) else 0
     return mix(out + size.astype(np.uint64)), begin
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, size: int, chunk: int = 1 << 20) -> np.ndarray:
+    """Of the ``size`` bytes from each start (ascending) on."""
+    out, up = np.empty(len(start), np.uint64), powers(chunk + size + 1)
+    for a in range(0, len(data), chunk):
+        lo, hi = np.searchsorted(start, (a, a + chunk))
+        part = data[a : a + chunk + size]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[part] * up[0][: len(part)])))
+        at = start[lo:hi] - a
+        out[lo:hi] = mix((sums[at + size] - sums[at]) * up[1][at])
+    return out
