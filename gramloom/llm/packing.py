@@ -131,7 +131,7 @@ class Words:
     def _some(self, words: list[str]) -> np.ndarray:
         if len(self.number) > CACHE:
             self.reset()
-        if new := list(set(words) - self.number.keys()):
+        if new := [w for w in set(words) if w not in self.number]:
             self.learn(new)
         which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         sizes = self.size[which]

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .dedup import op5_near_duplicates
 from .media import op1_media
 from .mixing import op10_mixing
 from .packing import op2_packing
 from .quality import op9_quality
+from .repeats import op6_repeats
 from .secrets import op3_secrets
 from .warc import op8_warc
 
@@ -17,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_packing": op2_packing,
     "op3_secrets": op3_secrets,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op6_repeats": op6_repeats,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
