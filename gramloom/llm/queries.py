@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .dedup import op5_near_duplicates
+from .html import op4_main_text
 from .media import op1_media
 from .mixing import op10_mixing
+from .neighbours import op7_neighbours
 from .packing import op2_packing
 from .quality import op9_quality
 from .repeats import op6_repeats
@@ -19,8 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_packing": op2_packing,
     "op3_secrets": op3_secrets,
+    "op4_main_text": op4_main_text,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_repeats": op6_repeats,
+    "op7_neighbours": op7_neighbours,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
