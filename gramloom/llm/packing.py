@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._common import Store, table, utf8
 
-CAPACITY, END, ROUND, CACHE = 4096, 2, 1 << 16, 400_000
+CAPACITY, END, ROUND, CACHE = 4096, 2, 1 << 16, 700_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -95,6 +96,31 @@ class Bins:
         return [x for b in bins for x in self.close(b)]
 
 
+#: A word of Latin letters, then ASCII punctuation. Such words are the same before and after Unicode
+#: normalization, and the tokenizer parts letters from punctuation; so its model may be asked for either alone.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\[-`{-~]*)\Z")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Numbers(dict):
+    """Numbers words as they are first asked for, and notes the new ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
+
+
 class Words:
     """Token ids of texts by way of a bounded cache of words."""
 
@@ -102,16 +128,36 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.reset()
+        # only a tokenizer that parts words as PLAIN has it, and lower-cases, may go by its model
+        probe = ["Wor", "wor", "\u00c9t\u00e9", "a", "zz", "\u0100b", "WOR!?", "b.", "\u00e9''", "q<|", "x_,"]
+        self.plain = self.tokenizer.model.__class__.__name__ == "BPE" and all(self._plain(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
 
     def reset(self) -> None:
-        self.number, self.size, self.first, self.ids, self.used = {}, np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
-
-    def learn(self, words: list[str]) -> None:
-        found = [x.ids for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
-        n, total = len(self.number), sum(map(len, found))
-        while n + len(words) > len(self.size):
+        self.number, self.size, self.first, self.ids, self.used = _Numbers(), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
+
+    def _plain(self, word: str) -> list[int] | None:
+        m = PLAIN.match(word)
+        if not m:
+            return None
+        core = m[1].lower()
+        if not core.isascii():
+            core = "".join(map(self.letters.__getitem__, core.encode()))
+        out = [t.id for t in self.model.tokenize(core)]
+        return out + [t.id for t in self.model.tokenize(m[2])] if m[2] else out
+
+    def _learn(self) -> None:
+        """Ids of the words that were numbered since the last time."""
+        words, self.number.new = self.number.new, []
+        found = [self._plain(w) for w in words] if self.plain else [None] * len(words)
+        hard = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(hard, self.tokenizer.encode_batch_fast([words[i] for i in hard], add_special_tokens=False)):
+            found[i] = x.ids
+        n, total = len(self.number) - len(words), sum(map(len, found))
+        while len(self.number) > len(self.size):
             self.size, self.first = np.resize(self.size, 2 * len(self.size)), np.resize(self.first, 2 * len(self.first))
         while self.used + total > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
@@ -120,7 +166,6 @@ class Words:
         self.first[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
         self.used += total
-        self.number.update(zip(words, range(n, n + len(words))))
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of the whole text. Only ASCII blanks part words here; other white space stays within a word, for the tokenizer."""
@@ -131,9 +176,9 @@ class Words:
     def _some(self, words: list[str]) -> np.ndarray:
         if len(self.number) > CACHE:
             self.reset()
-        if new := [w for w in set(words) if w not in self.number]:
-            self.learn(new)
         which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if self.number.new:
+            self._learn()
         sizes = self.size[which]
         ends = np.cumsum(sizes)
         if not len(ends) or not ends[-1]:
