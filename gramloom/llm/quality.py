@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from ._common import table, utf8
 from ._text import Buffer, chunks, mix
 
-BITS, HEADS, LEAST, SMOOTH, SAMPLE, KEEP_AT, STEPS = 20, (4, 5, 6), 5, 20, 12_000, 0.5, 250
+BITS, HEADS, LEAST, SMOOTH, SAMPLE, KEEP_AT, STEPS = 20, (4, 6), 5, 20, 8000, 0.5, 250
 #: Values of a word's features: core, heads, then punctuation, capitals and repetition, which a whole text may share.
 SCALE = np.array([30.0, *[30.0] * len(HEADS), 2.0, 2.0, 2.0])
 #: The prior on the distance of the thresholds: its strength, and its middle.
@@ -83,23 +83,40 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def fit(grades: np.ndarray, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, steps: int = STEPS, penalty: float = 1e-5) -> Model:
-    """Maximum likelihood with a quadratic penalty on the weights, by limited-memory BFGS."""
-    seen = np.bincount(cols, minlength=1 << BITS)
-    used = seen[cols] >= LEAST
-    rows, values = rows[used], values[used]
-    names, cols = np.unique(cols[used], return_inverse=True)
-    n, m = len(grades), len(names)
+def fit(grades: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, penalty: float = 1e-5, block: int = 256) -> Model:
+    """Maximum likelihood with a quadratic penalty on the weights, by limited-memory BFGS.
+
+    ``texts`` has each text's distinct features and their values (8 bytes a feature together); sums are taken
+    over blocks of texts, so that they need little more memory than that.
+    """
+    seen = np.zeros(1 << BITS, np.int32)
+    for cols, _ in texts:
+        seen[cols] += 1
+    names = np.flatnonzero(seen >= LEAST)
+    number = np.full(1 << BITS, -1, np.int32)
+    number[names] = np.arange(len(names))
+    n, m, blocks = len(grades), len(names), []
+    for k in range(0, n, block):
+        used = [number[c] >= 0 for c, _ in texts[k : k + block]]
+        cols = np.concatenate([number[c][u] for (c, _), u in zip(texts[k : k + block], used)])
+        values = np.concatenate([v[u] for (_, v), u in zip(texts[k : k + block], used)])
+        blocks.append((k, cols, values, np.concatenate(([0], np.cumsum([u.sum() for u in used])))))
+        texts[k : k + block] = [(np.empty(0, np.int32), np.empty(0, np.float32))] * len(used)
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         """Of the weights, t0 and log(t1 - t0), with its gradient."""
         w, t0, gap = x[:m], x[m], np.exp(x[m + 1])
-        s = np.bincount(rows, w[cols] * values, minlength=n)
+        s = np.zeros(n)
+        for k, cols, values, at in blocks:
+            sums = np.concatenate(([0.0], np.cumsum(w[cols] * values)))
+            s[k : k + len(at) - 1] = sums[at[1:]] - sums[at[:-1]]
         p0, p1 = _sigmoid(s - t0), _sigmoid(s - t0 - gap)
         like = np.maximum(np.select([grades == 0, grades == 1], [1 - p0, p0 - p1], p1), 1e-12)
         by0 = np.select([grades == 0, grades == 1], [1.0, -1.0], 0.0) / like * p0 * (1 - p0) / n
         by1 = np.select([grades == 1, grades == 2], [1.0, -1.0], 0.0) / like * p1 * (1 - p1) / n
-        g_w = np.bincount(cols, (by0 + by1)[rows] * values, minlength=m) + penalty * w
+        g_w = penalty * w
+        for k, cols, values, at in blocks:
+            g_w += np.bincount(cols, np.repeat((by0 + by1)[k : k + len(at) - 1], np.diff(at)) * values, minlength=m)
         far = x[m + 1] - np.log(GAP[1])
         return -np.log(like).mean() + penalty / 2 * w @ w + GAP[0] / 2 * far**2, np.concatenate((g_w, [-(by0 + by1).sum(), -by1.sum() * gap + GAP[0] * far]))
 
@@ -163,12 +180,12 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, steps: int
     # half as many again, for ratings whose document is missing
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample * 3 // 2)
     texts = docs.select("doc_id", utf8(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text"))
-    found = _sparse(texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("grade").cast("int"), "text")).collect()
-    if not found:
-        return None
-    cols = [np.frombuffer(r.cols, "<i4") for r in found]
-    rows = np.repeat(np.arange(len(found)), [len(c) for c in cols])
-    return fit(np.array([r.grade for r in found]), rows, np.concatenate(cols), np.concatenate([np.frombuffer(r["values"], "<f4") for r in found]).astype(float), steps)
+    rows = _sparse(texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("grade").cast("int"), "text"))
+    grades, found = [], []
+    for r in rows.toLocalIterator():
+        grades.append(r["grade"])
+        found.append((np.frombuffer(r["cols"], "<i4"), np.frombuffer(r["values"], "<f4")))
+    return fit(np.array(grades), found, steps) if found else None
 
 
 def score(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT, text_col: str = "text") -> DataFrame:
