@@ -18,7 +18,7 @@ So no list is turned into all its pairs, no pair at the threshold is lost, and t
 found in many tasks. Components come from label propagation with pointer jumping over written tables.
 
 Defined results: null, empty or blank text has an empty set and is linked with nothing; fewer than K words
-are one run; a row without doc_id is a component of its own without id, and not kept; rows with equal
+are one run; a row without doc_id is a component of its own without id, and kept; rows with equal
 doc_id are rows of their own; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -52,8 +52,8 @@ def shingle_sets(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarr
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, a, b, sig): the set's size, two hashes of the whole set, and its signature (null if it is empty)."""
-    names = ["doc_id", "n", "a", "b", "sig"]
+    """(doc_id, h, n, a, b, sig): a hash of the text, the set's size, two hashes of the whole set, and its signature (null if it is empty)."""
+    names = ["doc_id", "h", "n", "a", "b", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,9 +73,10 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 some = n > 0
                 offsets = pa.array(np.concatenate(([0], np.cumsum(some) * M)).astype(np.int32), mask=np.append(~some, False))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(sig[some].view(np.int32).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text")).mapInArrow(run, "doc_id long, n long, a long, b long, sig array<int>")
+    text = utf8(F.col(text_col))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, "doc_id long, h long, n long, a long, b long, sig array<int>")
 
 
 def components(edges: DataFrame, store: Store, name: str) -> DataFrame:
@@ -216,7 +217,7 @@ def _block_links(lists: DataFrame, total: int, sets: DataFrame, store: Store) ->
 
 
 def near_duplicates(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, doc_id, n_shingles, component_id, kept) for each row; see the module for the method."""
+    """(uid, doc_id, h, n_shingles, component_id, kept) for each row, h being xxhash64 of the text; see the module for the method."""
     signed = signatures(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id())
     signed = store.keep(signed, "signatures")
     part = signed.filter("n > 0 and doc_id is not null")
@@ -252,9 +253,27 @@ def near_duplicates(docs: DataFrame, store: Store, id_col: str = "doc_id", text_
     first = named.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
     named = lookup_join(named.select("n", "a", "b", "rows", "label"), first, ["label"], "size", n_classes).select("n", "a", "b", "rows", "component_id")
     named = store.keep(named, "components")
-    out = lookup_join(part.select("uid", "doc_id", "n", "a", "b"), named, ["n", "a", "b"], "rows", signed.count()).select("uid", "doc_id", "n", "component_id")
-    out = out.unionByName(signed.filter("n = 0 or doc_id is null").select("uid", "doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select("uid", "doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    out = lookup_join(part.select("uid", "doc_id", "h", "n", "a", "b"), named, ["n", "a", "b"], "rows", signed.count()).select("uid", "doc_id", "h", "n", "component_id")
+    out = out.unionByName(signed.filter("n = 0 or doc_id is null").select("uid", "doc_id", "h", "n", F.col("doc_id").alias("component_id")))
+    return out.select("uid", "doc_id", "h", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are the first of their components, each once, with all columns.
+
+    A filter over what is to go lets most rows pass without a shuffle.
+    """
+    marks = store.keep(near_duplicates(docs, store, id_col, text_col).select("doc_id", "h", "kept"), "marks")
+    counted = marks.filter("doc_id is not null").groupBy("doc_id", "h").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).filter("not kept or rows > 1")
+    open_ = store.keep(counted, "open")
+    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_h": F.xxhash64(utf8(F.col(text_col)))})
+    sifted = flagged(keyed, ["_id", "_h"], bit_filter(open_, ["doc_id", "h"]))
+    passed, held = sifted.filter(~F.col("flag") | F.col("_id").isNull()), sifted.filter(F.col("flag") & F.col("_id").isNotNull())
+    gone = open_.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    again = open_.filter("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    held = held.join(gone, ["_id", "_h"], "left_anti")
+    single, several = held.join(again, ["_id", "_h"], "left_anti"), held.join(again, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"])
+    return passed.unionByName(single).unionByName(several).select(*docs.columns)
 
 
 def _open_lists(lists: DataFrame, labels: DataFrame, total: int, store: Store, name: str) -> DataFrame:
@@ -266,4 +285,4 @@ def _open_lists(lists: DataFrame, labels: DataFrame, total: int, store: Store, n
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of ``documents`` with its component of near duplicates."""
-    return near_duplicates(table(spark, sf_dir, "documents"), Store(spark, "near")).drop("uid")
+    return near_duplicates(table(spark, sf_dir, "documents"), Store(spark, "near")).drop("uid", "h")
