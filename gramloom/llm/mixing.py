@@ -36,10 +36,10 @@ BLOCK, LEAST_BLOCKS, BUCKET, WIDE, SHARD_WORDS, MAX_SHARDS = 128, 1024, 1024, 50
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sizes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def sizes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", uid: Column | None = None) -> DataFrame:
     """(uid, doc_id, skey, size): a row for each row; skey is the source, marked so that null is a key."""
     return df.select(
-        F.monotonically_increasing_id().alias("uid"),
+        (F.monotonically_increasing_id() if uid is None else uid).alias("uid"),
         F.col(id_col).alias("doc_id"),
         F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string"))).alias("skey"),
         F.regexp_count(utf8(F.col(text_col)), F.lit(WORD)).cast("long").alias("size"),
@@ -92,33 +92,58 @@ def _uniform(*key: Column) -> Column:
     return (F.pmod(F.xxhash64(*key), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, and written once in the expression."""
+    return F.transform(F.array(value), use)[0]
+
+
 def hypergeometric(good: Column, bad: Column, draws: Column, *key: Column) -> Column:
     """The number of good ones among ``draws`` drawn without replacement; the key fixes the draw."""
-    n = good + bad
-    low, high = F.greatest(F.lit(0), draws - bad), F.least(good, draws)
-    share = F.when(n > 0, draws / F.greatest(n, F.lit(1))).otherwise(F.lit(0.0))
-    mean = good * share
-    deviation = F.sqrt(F.greatest(F.lit(0.0), mean * (1 - share) * bad / F.greatest(n - 1, F.lit(1))))
-    z = F.sqrt(-2 * F.log(_uniform(F.lit(1), *key))) * F.cos(2 * math.pi * _uniform(F.lit(2), *key))
-    wide = F.greatest(low, F.least(high, F.round(mean + deviation * z).cast("long")))
-    mode = F.greatest(low, F.least(high, F.floor((draws + 1.0) * (good + 1.0) / (n + 2.0)).cast("long")))
-    top = F.exp(_log_choose(good, mode) + _log_choose(bad, draws - mode) - _log_choose(n, draws))
-    reach = F.greatest(F.least(F.greatest(mode - low, high - mode), F.ceil(deviation * 14 + 14)), F.lit(1)).cast("int")
-    # outward from the mode: (left to find, found, value and probability on either side)
-    init = F.struct((_uniform(F.lit(3), *key) - top).alias("u"), mode.alias("at"), mode.alias("up"), top.alias("p_up"), mode.alias("down"), top.alias("p_down"))
+    one = F.lit(1).cast("long")
+    given = F.struct(good.cast("long").alias("good"), bad.cast("long").alias("bad"), draws.cast("long").alias("draws"), *(_uniform(F.lit(k), *key).alias(f"u{k}") for k in (1, 2, 3)))
+
+    def bounds(g: Column) -> Column:
+        n = g["good"] + g["bad"]
+        share = F.when(n > 0, g["draws"] / F.greatest(n, one)).otherwise(F.lit(0.0))
+        mean = g["good"] * share
+        return F.struct(
+            g.alias("g"),
+            F.greatest(F.lit(0), g["draws"] - g["bad"]).cast("long").alias("low"),
+            F.least(g["good"], g["draws"]).alias("high"),
+            mean.alias("mean"),
+            F.sqrt(F.greatest(F.lit(0.0), mean * (1 - share) * g["bad"] / F.greatest(n - 1, one))).alias("sd"),
+            F.floor((g["draws"] + 1.0) * (g["good"] + 1.0) / (n + 2.0)).cast("long").alias("middle"),
+        )
+
+    def draw(b: Column) -> Column:
+        z = F.sqrt(-2 * F.log(b["g"]["u1"])) * F.cos(2 * math.pi * b["g"]["u2"])
+        wide = F.greatest(b["low"], F.least(b["high"], F.round(b["mean"] + b["sd"] * z).cast("long")))
+        return F.when(b["low"] >= b["high"], b["high"]).when(b["sd"] > WIDE, wide).otherwise(_let(F.greatest(b["low"], F.least(b["high"], b["middle"])), lambda mode: _outward(b, mode)))
+
+    return _let(_let(given, bounds), draw).cast("long")
+
+
+def _outward(b: Column, mode: Column) -> Column:
+    """Inversion from the mode: the values above and below it in turn, until their probabilities reach u3."""
+    good, bad, draws, low, high = b["g"]["good"], b["g"]["bad"], b["g"]["draws"], b["low"], b["high"]
+    top = F.exp(_log_choose(good, mode) + _log_choose(bad, draws - mode) - _log_choose(good + bad, draws))
+    reach = F.greatest(F.least(F.greatest(mode - low, high - mode), F.ceil(b["sd"] * 14 + 14)), F.lit(1)).cast("int")
+    init = _let(top, lambda t: F.struct((b["g"]["u3"] - t).alias("u"), mode.alias("at"), mode.alias("up"), t.alias("p_up"), mode.alias("down"), t.alias("p_down")))
 
     def step(a: Column, _: Column) -> Column:
         k, j = a["up"], a["down"]
         more = F.when(k < high, a["p_up"] * ((good - k) * (draws - k) / ((k + 1.0) * (bad - draws + k + 1.0)))).otherwise(F.lit(0.0))
         less = F.when(j > low, a["p_down"] * (j * (bad - draws + j) / ((good - j + 1.0) * (draws - j + 1.0)))).otherwise(F.lit(0.0))
-        u1 = a["u"] - more
-        u2 = u1 - less
-        at = F.when(a["u"] < 0, a["at"]).when(u1 < 0, k + 1).when(u2 < 0, j - 1).otherwise(a["at"])
-        u = F.when(a["u"] < 0, a["u"]).when(u1 < 0, u1).otherwise(u2)
-        return F.struct(u.alias("u"), at.alias("at"), F.least(k + 1, high).alias("up"), more.alias("p_up"), F.greatest(j - 1, low).alias("down"), less.alias("p_down"))
 
-    exact = F.aggregate(F.sequence(F.lit(1), reach), init, step, lambda a: a["at"])
-    return F.when(low >= high, high).when(deviation > WIDE, wide).otherwise(exact).cast("long")
+        def settle(p: Column) -> Column:
+            u1 = a["u"] - p["more"]
+            at = F.when(u1 < 0, k + 1).when(u1 - p["less"] < 0, j - 1).otherwise(a["at"])
+            u = F.when(u1 < 0, u1).otherwise(u1 - p["less"])
+            return F.struct(u.alias("u"), at.alias("at"), F.least(k + 1, high).alias("up"), p["more"].alias("p_up"), F.greatest(j - 1, low).alias("down"), p["less"].alias("p_down"))
+
+        return F.when(a["u"] < 0, a).otherwise(_let(F.struct(more.alias("more"), less.alias("less")), settle))
+
+    return F.aggregate(F.sequence(F.lit(1), reach), init, step, lambda a: a["at"])
 
 
 def _chain(seed: int, depth: int):
@@ -126,13 +151,12 @@ def _chain(seed: int, depth: int):
 
     def step(a: Column, x: Column) -> Column:
         got = hypergeometric(x, a["rest"] - x, a["draws"], F.lit(seed), F.lit(depth), F.col("first"), F.size(a["left"]))
-        # bound once: a struct's field may be used as often as needed
-        return F.transform(F.array(got), lambda g: F.struct((a["draws"] - g).alias("draws"), (a["rest"] - x).alias("rest"), F.concat(a["left"], F.array(g)).alias("left")))[0]
+        return _let(got, lambda g: F.struct((a["draws"] - g).alias("draws"), (a["rest"] - x).alias("rest"), F.concat(a["left"], F.array(g)).alias("left")))
 
     return step
 
 
-def splitting_tree(sources: DataFrame, shards: int, seed: int) -> DataFrame:
+def splitting_tree(sources: DataFrame, shards: int, seed: int, store: Store) -> DataFrame:
     """(skey, bounds): for each source the ranks at which the shards' intervals end, in shard order."""
     order = F.sort_array(F.collect_list(F.struct("rank", "skey", "quota")))
     node = sources.agg(order.alias("s")).select(
@@ -148,6 +172,8 @@ def splitting_tree(sources: DataFrame, shards: int, seed: int) -> DataFrame:
         right = F.zip_with("q", "left", lambda a, b: a - b)
         both = F.array(F.struct(F.col("first").alias("first"), F.col("left").alias("q")), F.struct((F.col("first") + F.col("n") / 2).cast("long").alias("first"), right.alias("q")))
         node = node.select(F.explode(both).alias("c"), (F.col("n") / 2).cast("long").alias("n"), "keys").select("c.first", "n", "c.q", "keys")
+        if depth % 4 == 3:
+            node = store.keep(node, f"tree{depth}")
     leaf = node.select("first", F.explode(F.arrays_zip(F.col("keys").alias("skey"), F.col("q").alias("got")))).select("first", F.col("col.skey").alias("skey"), F.col("col.got").alias("got"))
     counts = leaf.groupBy("skey").agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "got"))), lambda x: x["got"]).alias("got"))
     init = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("out"))
@@ -156,24 +182,28 @@ def splitting_tree(sources: DataFrame, shards: int, seed: int) -> DataFrame:
 
 def permuted(x: Column, n: Column, key: Column) -> Column:
     """A keyed permutation of 0 .. n - 1, without a table."""
-    a = F.greatest(F.ceil(F.sqrt(n.cast("double"))), F.lit(1)).cast("long")
-    b = F.greatest(F.ceil(n / a), F.lit(1)).cast("long")
 
-    def once(y: Column) -> Column:
-        def round_(s: Column, r: Column) -> Column:
-            left = F.pmod(s["l"] + F.pmod(F.xxhash64(key, r, s["r"]), a), a)
-            return F.transform(F.array(left), lambda v: F.struct(v.alias("l"), F.pmod(s["r"] + F.pmod(F.xxhash64(key, -r, v), b), b).alias("r")))[0]
+    def over(p: Column) -> Column:
+        n, a, b, key = p["n"], p["a"], p["b"], p["key"]
 
-        start = F.struct((y / b).cast("long").alias("l"), (y % b).alias("r"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(3)), start, round_, lambda s: s["l"] * b + s["r"])
+        def once(y: Column) -> Column:
+            def round_(s: Column, r: Column) -> Column:
+                left = F.pmod(s["l"] + F.pmod(F.xxhash64(key, r, s["r"]), a), a)
+                return _let(left, lambda v: F.struct(v.alias("l"), F.pmod(s["r"] + F.pmod(F.xxhash64(key, -r, v), b), b).alias("r")))
 
-    def walk(y: Column, steps: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), steps), y, lambda v, _: F.when(v < n, v).otherwise(once(v)))
+            start = F.struct((y / b).cast("long").alias("l"), (y % b).alias("r"))
+            return F.aggregate(F.sequence(F.lit(1), F.lit(3)), start, round_, lambda s: s["l"] * b + s["r"])
 
-    # of the a * b numbers fewer than a are no block: few steps nearly always do, and a * b - n + 1 always do
-    holes = (a * b - n).cast("int") + 1
-    few = F.transform(F.array(once(x)), lambda y: walk(y, F.least(holes, F.lit(4))))[0]
-    return F.transform(F.array(few), lambda y: F.when(y < n, y).otherwise(walk(y, holes)))[0]
+        # of the a * b numbers fewer than a are no block, so a walk of that many steps and one more ends on a block
+        walk = lambda y, steps: F.aggregate(F.sequence(F.lit(0), steps), y, lambda v, i: F.when((i > 0) & (v < n), v).otherwise(once(v)))
+        few = walk(p["x"], F.least(p["holes"], F.lit(4)))
+        # a few steps nearly always do
+        return _let(few, lambda y: F.when(y < n, y).otherwise(F.aggregate(F.sequence(F.lit(0), p["holes"]), y, lambda v, _: F.when(v < n, v).otherwise(once(v)))))
+
+    a = F.greatest(F.ceil(F.sqrt(n.cast("double"))), F.lit(1)).cast("long")
+    sides = _let(a, lambda a: F.struct(x.alias("x"), n.alias("n"), key.alias("key"), a.alias("a"), F.greatest(F.ceil(n / a), F.lit(1)).cast("long").alias("b")))
+    full = _let(sides, lambda s: F.struct(s["x"].alias("x"), s["n"].alias("n"), s["key"].alias("key"), s["a"].alias("a"), s["b"].alias("b"), (s["a"] * s["b"] - s["n"]).cast("int").alias("holes")))
+    return _let(full, over)
 
 
 def taken_blocks(sizes: DataFrame, store: Store, seed: int = 17, shards: int | None = None) -> DataFrame:
@@ -187,7 +217,7 @@ def taken_blocks(sizes: DataFrame, store: Store, seed: int = 17, shards: int | N
     total = counted[0] or 0
     if shards is None:
         shards = min(MAX_SHARDS, 1 << max(0, math.ceil(math.log2(max(1, (counted[1] or 0) / SHARD_WORDS)))))
-    plan = store.keep(sources.join(splitting_tree(sources, shards, seed), "skey"), "plan")
+    plan = store.keep(sources.join(splitting_tree(sources, shards, seed, store), "skey"), "plan")
     rows = lookup_join(sizes, plan, ["skey"], "rows", total)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("buckets")))
     rows = store.keep(rows.drop("bounds"), "rows")
@@ -230,6 +260,25 @@ def mixed(taken: DataFrame, seed: int = 17) -> DataFrame:
     return parts.withColumn("order", F.xxhash64(F.lit(seed), "skey", "rank")).repartition("shard").sortWithinPartitions("shard", "order", "uid", "start")
 
 
+def mixed_documents(docs: DataFrame, store: Store, text_col: str = "text", seed: int = 17, **names: str) -> DataFrame:
+    """``docs`` with the words that the mix takes as text, a row for each row of which it takes any.
+
+    A whole epoch's text is as it was, another's the words of its parts, in order; epochs stand one below another.
+    """
+    rows = store.keep(docs.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
+    sizes = store.keep(sizes_of(rows, text_col=text_col, uid=F.col("_uid"), **names), "sizes")
+    parts = store.keep(taken_blocks(sizes, store, seed).filter(F.size("parts") > 0).select(F.col("uid").alias("_uid"), F.col("size").alias("_size"), F.col("parts").alias("_parts")), "parts")
+    out = rows.join(parts, "_uid").withColumn("_words", F.when(F.aggregate("_parts", F.lit(0).cast("long"), lambda a, p: a + p["length"]) % F.col("_size") != 0, F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"))))
+
+    def epoch(e: Column) -> Column:
+        own = F.array_sort(F.transform(F.filter("_parts", lambda p: p["epoch"] == e), lambda p: F.struct(p["start"], p["length"])))
+        some = F.array_join(F.flatten(F.transform(own, lambda p: F.slice("_words", (p["start"] + 1).cast("int"), p["length"].cast("int")))), " ")
+        return F.when(F.aggregate(own, F.lit(0).cast("long"), lambda a, p: a + p["length"]) == F.col("_size"), F.col(text_col)).otherwise(some)
+
+    text = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), F.array_max(F.transform("_parts", lambda p: p["epoch"]))), epoch), lambda t: t != ""), "\n")
+    return out.withColumn(text_col, text).select(*docs.columns)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of each row of ``documents``."""
     store = Store(spark, "mix")
