@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Store, bit_filter, flagged, lookup_join, table, utf8
-from ._text import Buffer, chunks, range_hashes
+from ._text import Buffer, chunks, mix, range_hashes
 
-WINDOW, GRAM, KEY_BITS, SHARD_BYTES, FLUSH = 50, 20, 27, 16_000_000, 8_000_000
+WINDOW, GRAM, KEY_BITS, SHARD_BYTES, FLUSH, SORTED_AT_ONCE = 50, 20, 27, 4_000_000, 8_000_000, 200_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -63,7 +63,8 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[int, Buffer, np.ndarray, np.ndar
         where = np.repeat(buf.start - np.cumsum(count) + count, count) + np.arange(len(text))
         key = low[where]
         new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])))) if len(key) else np.empty(0, np.int64)
-        yield first, buf, text[new], key[new], where[new], np.diff(np.append(new, len(key)))
+        # minima crowd at the low end; mixed again, they are even
+        yield first, buf, text[new], mix(key[new]), where[new], np.diff(np.append(new, len(key)))
 
 
 def _by_shard(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,9 +98,9 @@ def _shared_keys(texts: DataFrame, bits: int) -> np.ndarray:
                 for _, _, text, key, _, _ in _runs([x.encode("utf-8", "surrogatepass") for x in batch.column(0).slice(k, 512).to_pylist()]):
                     kept.append(_distinct(key, text))
                     size += len(kept[-1])
-            if size * 8 > FLUSH:
-                yield flush()
-                kept, size = [], 0
+                if size * 8 > FLUSH:
+                    yield flush()
+                    kept, size = [], 0
         if size:
             yield flush()
 
@@ -136,6 +137,16 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
+def _parts(edges: np.ndarray, n: int, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges that end at an edge, of about ``size``."""
+    a = 0
+    while a < n:
+        k = np.searchsorted(edges, a + size)
+        b = int(edges[k]) if k < len(edges) else n
+        yield a, b
+        a = b
+
+
 def previous_factors(windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For rows of bytes and their documents: the length of the longest prefix that a row of an earlier document has too.
 
@@ -209,9 +220,9 @@ def _removed(texts: DataFrame, keys: np.ndarray, bits: int) -> DataFrame:
                         t, w, c = text[hit], where[hit], count[hit]
                         held.append((uids[first + t], docs[first + t], key[hit], w - buf.start[t], c, buf.raw[_ranges(w, c + WINDOW - 1)]))
                         size += len(held[-1][5])
-            if size > FLUSH:
-                yield flush()
-                held, size = [], 0
+                if size > FLUSH:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 
@@ -230,7 +241,11 @@ def _removed(texts: DataFrame, keys: np.ndarray, bits: int) -> DataFrame:
         high = ds[np.append(np.flatnonzero(new)[1:], len(ds)) - 1]
         some = order[(low != high)[group]]
         cut = np.zeros(len(at), bool)
-        cut[some] = previous_factors(data[at[some][:, None] + np.arange(WINDOW)], doc[owner[some]]) >= WINDOW
+        # equal windows have equal hashes and so stay together; a part's order has all that reaches the cap
+        edges = np.flatnonzero(np.concatenate(([True], h[some][1:] != h[some][:-1]))) if len(some) else np.empty(0, np.int64)
+        for a, b in _parts(edges, len(some), SORTED_AT_ONCE):
+            own = some[a:b]
+            cut[own] = previous_factors(data[at[own][:, None] + np.arange(WINDOW)], doc[owner[own]]) >= WINDOW
         gone = np.flatnonzero(cut)
         first = np.concatenate(([True], (gone[1:] != gone[:-1] + 1) | (owner[gone[1:]] != owner[gone[:-1]]))) if len(gone) else np.empty(0, bool)
         a = gone[first]
