@@ -86,17 +86,28 @@ def bit_filter(df: DataFrame, keys: Sequence[str]) -> np.ndarray:
     return out
 
 
-def flagged(df: DataFrame, keys: Sequence[str], bits: np.ndarray) -> DataFrame:
-    """Adds ``flag``: true for every row whose keys were in the filter's table, and for a few others."""
+def flagged(df: DataFrame, keys: Sequence[str], bits: np.ndarray, name: str = "flag") -> DataFrame:
+    """Adds ``name``, last: true for every row whose keys were in the filter's table, and for a few others."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
-    df = df.withColumn("flag", _bit(keys))
+    df = df.drop(name).withColumn(name, _bit(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(len(batch.columns) - 1).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)], batch.schema.names)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields[:-1], T.StructField("flag", T.BooleanType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields[:-1], T.StructField(name, T.BooleanType())]))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, made from ``names``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def utf8(text: Column) -> Column:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Store, bit_filter, flagged, lookup_join, table, utf8
+from ._common import Store, bit_filter, flagged, lookup_join, table, unused, utf8
 from ._text import Buffer, chunks, mix, shingles
 
 K, M, MATCH, SMALL, ROUNDS, BLOCK, BLOCK_BYTES = 5, 64, 30, 64, 3, 512, 8_000_000
@@ -266,13 +266,14 @@ def drop_near_duplicates(docs: DataFrame, store: Store, id_col: str = "doc_id",
     marks = store.keep(near_duplicates(docs, store, id_col, text_col).select("doc_id", "h", "kept"), "marks")
     counted = marks.filter("doc_id is not null").groupBy("doc_id", "h").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).filter("not kept or rows > 1")
     open_ = store.keep(counted, "open")
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_h": F.xxhash64(utf8(F.col(text_col)))})
-    sifted = flagged(keyed, ["_id", "_h"], bit_filter(open_, ["doc_id", "h"]))
-    passed, held = sifted.filter(~F.col("flag") | F.col("_id").isNull()), sifted.filter(F.col("flag") & F.col("_id").isNotNull())
-    gone = open_.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    again = open_.filter("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    held = held.join(gone, ["_id", "_h"], "left_anti")
-    single, several = held.join(again, ["_id", "_h"], "left_anti"), held.join(again, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"])
+    id_, h, flag = unused(docs, "_id", "_h", "_flag")
+    keyed = docs.withColumns({id_: F.col(id_col).cast("long"), h: F.xxhash64(utf8(F.col(text_col)))})
+    sifted = flagged(keyed, [id_, h], bit_filter(open_, ["doc_id", "h"]), flag)
+    named = F.col(id_).isNotNull()
+    passed, held = sifted.filter(~F.col(flag) | ~named), sifted.filter(F.col(flag) & named)
+    keys = lambda kept: open_.filter(F.col("kept") == kept).select(F.col("doc_id").alias(id_), F.col("h").alias(h))
+    held = held.join(keys(False), [id_, h], "left_anti")
+    single, several = held.join(keys(True), [id_, h], "left_anti"), held.join(keys(True), [id_, h], "left_semi").dropDuplicates([id_, h])
     return passed.unionByName(single).unionByName(several).select(*docs.columns)
 
 

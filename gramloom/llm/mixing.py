@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Store, lookup_join, table, utf8
+from ._common import Store, lookup_join, table, unused, utf8
 
 #: Fixed values of the contract: weights by rank, share of all sizes, and the cap in times of a source's size.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
@@ -265,17 +265,19 @@ def mixed_documents(docs: DataFrame, store: Store, text_col: str = "text", seed:
 
     A whole epoch's text is as it was, another's the words of its parts, in order; epochs stand one below another.
     """
-    rows = store.keep(docs.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
-    sizes = store.keep(sizes_of(rows, text_col=text_col, uid=F.col("_uid"), **names), "sizes")
-    parts = store.keep(taken_blocks(sizes, store, seed).filter(F.size("parts") > 0).select(F.col("uid").alias("_uid"), F.col("size").alias("_size"), F.col("parts").alias("_parts")), "parts")
-    out = rows.join(parts, "_uid").withColumn("_words", F.when(F.aggregate("_parts", F.lit(0).cast("long"), lambda a, p: a + p["length"]) % F.col("_size") != 0, F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"))))
+    uid, size, parts_, words = unused(docs, "_uid", "_size", "_parts", "_words")
+    rows = store.keep(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+    sizes = store.keep(sizes_of(rows, text_col=text_col, uid=F.col(uid), **names), "sizes")
+    parts = store.keep(taken_blocks(sizes, store, seed).filter(F.size("parts") > 0).select(F.col("uid").alias(uid), F.col("size").alias(size), F.col("parts").alias(parts_)), "parts")
+    total = lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x["length"])
+    out = rows.join(parts, uid).withColumn(words, F.when(total(parts_) % F.col(size) != 0, F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"))))
 
     def epoch(e: Column) -> Column:
-        own = F.array_sort(F.transform(F.filter("_parts", lambda p: p["epoch"] == e), lambda p: F.struct(p["start"], p["length"])))
-        some = F.array_join(F.flatten(F.transform(own, lambda p: F.slice("_words", (p["start"] + 1).cast("int"), p["length"].cast("int")))), " ")
-        return F.when(F.aggregate(own, F.lit(0).cast("long"), lambda a, p: a + p["length"]) == F.col("_size"), F.col(text_col)).otherwise(some)
+        own = F.array_sort(F.transform(F.filter(parts_, lambda p: p["epoch"] == e), lambda p: F.struct(p["start"], p["length"])))
+        some = F.array_join(F.flatten(F.transform(own, lambda p: F.slice(words, (p["start"] + 1).cast("int"), p["length"].cast("int")))), " ")
+        return F.when(total(own) == F.col(size), F.col(text_col)).otherwise(some)
 
-    text = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), F.array_max(F.transform("_parts", lambda p: p["epoch"]))), epoch), lambda t: t != ""), "\n")
+    text = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), F.array_max(F.transform(parts_, lambda p: p["epoch"]))), epoch), lambda t: t != ""), "\n")
     return out.withColumn(text_col, text).select(*docs.columns)
 
 

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, utf8
+from ._common import table, unused, utf8
 
 #: Fixed values of the contract, in its order: kind, pattern, and the number of characters that group 1 must have.
 BASE = (
@@ -101,27 +101,26 @@ def window_flags(candidate: Column, window: int, threshold: Column) -> Column:
 def find_secrets(df: DataFrame, text_col: str = "text", window: int = WINDOW, thresholds: dict[str, float] | None = None, allow: Sequence[str] = ALLOW) -> DataFrame:
     """Adds ``base_spans`` and ``spans``: arrays of (start, rank, kind, end) by start, then kind as listed."""
     limits = THRESHOLDS | (thresholds or {})
-    out = df.withColumn("_t", utf8(F.col(text_col)))
-    text, parts = F.col("_t"), []
+    t, found_, added, *matches = unused(df, "_text", "_found", "_added", *(f"_m{i}" for i in range(len(BASE))))
+    out, text, parts = df.withColumn(t, utf8(F.col(text_col))), F.col(t), []
     for rank, (kind, pattern, least) in enumerate(BASE):
         found = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda a, g: F.struct(a.alias("all"), g.alias("group")))
-        out = out.withColumn(f"_m{rank}", F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<all:string,group:string>>")))
-        made = lambda start, m, rank=rank, kind=kind, least=least: F.when(F.length(m["group"]) >= least, F.array(_span(start, rank, F.lit(kind), start + F.length(m["all"])))).otherwise(_none())
-        parts.append(_spans(text, F.col(f"_m{rank}"), pattern, made))
+        out = out.withColumn(matches[rank], F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<all:string,group:string>>")))
+        parts.append(_spans(text, F.col(matches[rank]), pattern, _base_span(rank, kind, least)))
     run = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{window},}}={{0,2}}"
     allowed = lambda c: F.exists(F.array(*map(F.lit, allow)), lambda p: F.regexp_like(c, p)) if allow else F.lit(False)
-    strings = F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(0)), lambda c: F.struct(c.alias("all"), F.when(allowed(c), _flat()).otherwise(_flags(c, window, limits)).alias("group")))
-    out = out.withColumn("_m9", F.when(text.rlike(run), strings).otherwise(F.array().cast(f"array<struct<all:string,group:array<{SPAN}>>>")))
+    strings = F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(0)), lambda c: F.struct(c.alias("all"), F.when(allowed(c), _none()).otherwise(_flags(c, window, limits)).alias("group")))
+    out = out.withColumn(found_, F.when(text.rlike(run), strings).otherwise(F.array().cast(f"array<struct<all:string,group:array<{SPAN}>>>")))
     shifted = lambda start, m: F.transform(m["group"], lambda s: _span(start + s["start"], 8, s["kind"], start + s["end"]))
-    out = out.withColumn("_added", _spans(text, F.col("_m9"), run, shifted))
+    out = out.withColumn(added, _spans(text, F.col(found_), run, shifted))
     out = out.withColumn("base_spans", F.array_sort(F.concat(*parts)))
     inside = lambda s: F.exists(F.col("base_spans"), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    out = out.withColumn("spans", F.array_sort(F.concat(F.col("base_spans"), F.filter(F.col("_added"), lambda s: ~inside(s)))))
-    return out.drop("_t", "_m0", "_m1", "_m2", "_m9", "_added")
+    out = out.withColumn("spans", F.array_sort(F.concat(F.col("base_spans"), F.filter(F.col(added), lambda s: ~inside(s)))))
+    return out.drop(t, found_, added, *matches)
 
 
-def _flat() -> Column:
-    return F.array().cast(f"array<{SPAN}>")
+def _base_span(rank: int, kind: str, least: int):
+    return lambda start, m: F.when(F.length(m["group"]) >= least, F.array(_span(start, rank, F.lit(kind), start + F.length(m["all"])))).otherwise(_none())
 
 
 def _flags(c: Column, window: int, limits: dict[str, float]) -> Column:
