@@ -11,7 +11,7 @@ hashed into ``BITS`` bits; a feature's value is its number
 divided by the number of words and ``SMOOTH`` more, times ``SCALE``. Features in fewer
 than ``LEAST`` rated texts have weight 0.
 
-The model is fitted on the driver, on at most ``sample`` rated documents, the ones with the smallest
+The model is fitted in one task, on at most ``sample`` rated documents, the ones with the smallest
 hash of their id; the bound is a parameter, and what the fit costs doesn't grow with the input. Every
 document is scored, by whole text, without a shuffle. Defined results: ratings that are null, or of
 documents that don't exist, are not used; of several ratings the lowest grade counts; without any rating
@@ -21,7 +21,7 @@ have repeated results; extra columns are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import table, utf8
+from ._common import table, unused, utf8
 from ._text import Buffer, chunks, mix
 
 BITS, HEADS, LEAST, SMOOTH, SAMPLE, KEEP_AT, STEPS = 20, (4, 6), 5, 20, 8000, 0.5, 250
@@ -83,31 +83,46 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def fit(grades: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, penalty: float = 1e-5, block: int = 256) -> Model:
+#: Texts in order: their distinct features, the features' values, and where each text begins (one more at the end).
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def block_of(texts: list[bytes]) -> Block:
+    cols, values, sizes = [np.empty(0, np.int32)], [np.empty(0, np.float32)], [0]
+    for _, ids, at in features(texts):
+        for a, b in zip(at[:-1], at[1:]):
+            own, which = np.unique(ids[a:b], return_inverse=True)
+            cols.append(own)
+            values.append(np.bincount(which.ravel(), np.tile(SCALE / (b - a + SMOOTH), b - a), len(own)).astype(np.float32))
+            sizes.append(len(own))
+    return np.concatenate(cols), np.concatenate(values), np.cumsum(sizes)
+
+
+def fit(grades: np.ndarray, blocks: list[Block], steps: int = STEPS, penalty: float = 1e-5) -> Model:
     """Maximum likelihood with a quadratic penalty on the weights, by limited-memory BFGS.
 
-    ``texts`` has each text's distinct features and their values (8 bytes a feature together); sums are taken
-    over blocks of texts, so that they need little more memory than that.
+    Sums are taken block by block, so that they need little more memory than the blocks, 8 bytes a feature.
     """
     seen = np.zeros(1 << BITS, np.int32)
-    for cols, _ in texts:
-        seen[cols] += 1
+    for cols, _, at in blocks:
+        seen += np.bincount(cols, minlength=1 << BITS).astype(np.int32)
     names = np.flatnonzero(seen >= LEAST)
     number = np.full(1 << BITS, -1, np.int32)
     number[names] = np.arange(len(names))
-    n, m, blocks = len(grades), len(names), []
-    for k in range(0, n, block):
-        used = [number[c] >= 0 for c, _ in texts[k : k + block]]
-        cols = np.concatenate([number[c][u] for (c, _), u in zip(texts[k : k + block], used)])
-        values = np.concatenate([v[u] for (_, v), u in zip(texts[k : k + block], used)])
-        blocks.append((k, cols, values, np.concatenate(([0], np.cumsum([u.sum() for u in used])))))
-        texts[k : k + block] = [(np.empty(0, np.int32), np.empty(0, np.float32))] * len(used)
+    n, m, first = len(grades), len(names), 0
+    own = []
+    while blocks:
+        cols, values, at = blocks.pop(0)
+        new = number[cols]
+        used = new >= 0
+        own.append((first, new[used], values[used], np.concatenate(([0], np.cumsum(used)))[at]))
+        first += len(at) - 1
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         """Of the weights, t0 and log(t1 - t0), with its gradient."""
         w, t0, gap = x[:m], x[m], np.exp(x[m + 1])
         s = np.zeros(n)
-        for k, cols, values, at in blocks:
+        for k, cols, values, at in own:
             sums = np.concatenate(([0.0], np.cumsum(w[cols] * values)))
             s[k : k + len(at) - 1] = sums[at[1:]] - sums[at[:-1]]
         p0, p1 = _sigmoid(s - t0), _sigmoid(s - t0 - gap)
@@ -115,7 +130,7 @@ def fit(grades: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray]], steps: i
         by0 = np.select([grades == 0, grades == 1], [1.0, -1.0], 0.0) / like * p0 * (1 - p0) / n
         by1 = np.select([grades == 1, grades == 2], [1.0, -1.0], 0.0) / like * p1 * (1 - p1) / n
         g_w = penalty * w
-        for k, cols, values, at in blocks:
+        for k, cols, values, at in own:
             g_w += np.bincount(cols, np.repeat((by0 + by1)[k : k + len(at) - 1], np.diff(at)) * values, minlength=m)
         far = x[m + 1] - np.log(GAP[1])
         return -np.log(like).mean() + penalty / 2 * w @ w + GAP[0] / 2 * far**2, np.concatenate((g_w, [-(by0 + by1).sum(), -by1.sum() * gap + GAP[0] * far]))
@@ -155,22 +170,23 @@ def fit(grades: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray]], steps: i
     return Model(weights, (float(x[m]), float(x[m] + np.exp(x[m + 1]))))
 
 
-def _sparse(docs: DataFrame) -> DataFrame:
-    """(grade, cols, values) of rated texts."""
+def _fitted(rated: DataFrame, steps: int) -> DataFrame:
+    """(cols, weights, t0, t1) of a model fitted to the texts (grade, text) of one partition, in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grades, found = [], []
         for batch in batches:
-            texts = [x.encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
-            cols, values = [], []
-            for _, ids, at in features(texts):
-                for a, b in zip(at[:-1], at[1:]):
-                    c, which = np.unique(ids[a:b], return_inverse=True)
-                    share = np.bincount(which.ravel(), np.tile(SCALE / (b - a + SMOOTH), b - a), len(c))
-                    cols.append(c.astype("<i4").tobytes())
-                    values.append(share.astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols, pa.binary()), pa.array(values, pa.binary())], ["grade", "cols", "values"])
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                grades += part.column(0).to_pylist()
+                found.append(block_of([x.encode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()]))
+        if found:
+            model = fit(np.array(grades), found, steps)
+            cols = np.flatnonzero(model.weights).astype("<i4")
+            row = (cols.tobytes(), model.weights[cols].astype("<f4").tobytes(), *model.thresholds)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["cols", "weights", "t0", "t1"])
 
-    return docs.mapInArrow(run, "grade int, cols binary, values binary")
+    return rated.mapInArrow(run, "cols binary, weights binary, t0 double, t1 double")
 
 
 def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> Model | None:
@@ -180,23 +196,23 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, steps: int
     # half as many again, for ratings whose document is missing
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample * 3 // 2)
     texts = docs.select("doc_id", utf8(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text"))
-    rows = _sparse(texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("grade").cast("int"), "text"))
-    grades, found = [], []
-    for r in rows.toLocalIterator():
-        grades.append(r["grade"])
-        found.append((np.frombuffer(r["cols"], "<i4"), np.frombuffer(r["values"], "<f4")))
-    return fit(np.array(grades), found, steps) if found else None
+    found = _fitted(texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("grade").cast("int"), "text").coalesce(1), steps).collect()
+    if not found:
+        return None
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[np.frombuffer(found[0]["cols"], "<i4")] = np.frombuffer(found[0]["weights"], "<f4")
+    return Model(weights, (found[0]["t0"], found[0]["t1"]))
 
 
-def score(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT, text_col: str = "text") -> DataFrame:
-    """Adds expected_grade, p_usable (grade >= 1), p_clean (grade >= 2) and keep to every row."""
-    added = ["expected_grade", "p_usable", "p_clean", "keep"]
+def score(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT, text_col: str = "text", names: Sequence[str] = ("expected_grade", "p_usable", "p_clean", "keep")) -> DataFrame:
+    """Adds expected_grade, p_usable (grade >= 1), p_clean (grade >= 2) and keep to every row, in place of columns of these names."""
+    added = list(names)
     docs = docs.drop(*added)
     if model is None:
-        return docs.withColumns({c: F.lit(None).cast("double") for c in added[:3]}).withColumn("keep", F.lit(True))
+        return docs.withColumns({c: F.lit(None).cast("double") for c in added[:3]}).withColumn(added[3], F.lit(True))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the input
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in added[:3]), T.StructField("keep", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in added[:3]), T.StructField(added[3], T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -210,6 +226,12 @@ def score(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT, text_c
     return docs.mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT, text_col: str = "text") -> DataFrame:
+    """The rows that the model keeps, with their own columns only."""
+    names = unused(docs, "_grade", "_usable", "_clean", "_keep")
+    return score(docs, model, keep_at, text_col, names).filter(F.col(names[3])).select(*docs.columns)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and tail probabilities of every row of ``documents``."""
     docs = table(spark, sf_dir, "documents")
