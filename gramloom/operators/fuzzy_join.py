@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.columns import gram_similarity, grams, ngram_movers_distance, num_grams, positions
 
@@ -42,8 +41,8 @@ def fuzzy_self_join(words: DataFrame, min_similarity: float, n: int = 2, word: s
         raise ValueError("min_similarity must be over 0, and 1 at most")
     names = words.select(F.col(word).alias("w")).filter("w is not null").distinct().withColumn("n_grams", num_grams(F.col("w"), n)).filter("n_grams > 0")
     # the k-th gram of a kind within a word is a token of its own, so that shared grams are shared tokens
-    each = names.withColumn("_g", grams(F.col("w"), n)).select("w", "n_grams", F.posexplode("_g").alias("i", "gram"))
-    each = each.withColumn("k", F.row_number().over(Window.partitionBy("w", "gram").orderBy("i"))).select("w", "n_grams", "gram", "k")
+    nth = F.transform("_g", lambda g, i: F.struct(g.alias("gram"), F.size(F.filter(F.slice("_g", 1, i + 1), lambda x: x == g)).alias("k")))
+    each = names.withColumn("_g", grams(F.col("w"), n)).select("w", "n_grams", F.explode(nth).alias("t")).select("w", "n_grams", "t.gram", "t.k")
     freq = each.groupBy("gram", "k").agg(F.count("*").alias("freq")).filter("freq > 1")
     ratio = min_similarity / (2 - min_similarity)
     need = F.ceil(F.col("n_grams") * ratio - 1e-9)
