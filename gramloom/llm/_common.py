@@ -40,19 +40,22 @@ class Store:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.path, self.names = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", set()
 
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write ``df`` as Parquet and return the table read back, with the same schema."""
         path = f"{self.path}/{name}"
+        self.names.add(name)
         df.write.option("compression", codec).mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Remove a table that nothing lazy reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def only(self, *names: str) -> None:
+        """Removes all tables but ``names``; nothing lazy may read them any more."""
+        context = self.spark.sparkContext
+        for name in self.names - set(names):
+            path = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        self.names &= set(names)
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:

@@ -33,9 +33,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Store, bit_filter, flagged, lookup_join, table, unused, utf8
+from ._keys import passes, shard_bits, shared_keys
 from ._text import Buffer, chunks, mix, shingles
 
-K, M, MATCH, SMALL, ROUNDS, BLOCK, BLOCK_BYTES = 5, 64, 30, 64, 3, 512, 8_000_000
+K, M, MATCH, SMALL, ROUNDS, BLOCK, BLOCK_BYTES, SHARD_BYTES = 5, 64, 30, 64, 3, 512, 8_000_000, 16_000_000
 SIMILAR = (3, 4)  # 0.75
 _RNG = np.random.default_rng(75)
 MULTIPLY = _RNG.integers(0, 1 << 63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,11 +101,32 @@ def _long_enough(a: Column, b: Column) -> Column:
     return F.least(a, b) * SIMILAR[1] >= F.greatest(a, b) * SIMILAR[0]
 
 
-def _prefix(classes: DataFrame, total: int) -> DataFrame:
+def _tokens(batch: pa.RecordBatch) -> np.ndarray:
+    """Each signature's coordinate-value pairs, a row for a class; the last column of the batch has the signatures."""
+    value = batch.column(len(batch.columns) - 1).flatten().to_numpy(zero_copy_only=False).view(np.uint32).reshape(-1, M)
+    return value.astype(np.uint64) | (np.arange(M, dtype=np.uint64) << np.uint64(32))
+
+
+def _key(token: np.ndarray) -> np.ndarray:
+    return mix(token) & ~np.uint64(1)
+
+
+def _prefix(classes: DataFrame, total: int, store: Store) -> DataFrame:
     """(token, uid, n): the postings of each class under the rarest of its coordinate-value pairs that others have too."""
-    tokens = classes.select("uid", "n", F.posexplode("sig").alias("pos", "v")).select("uid", "n", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("v") + (1 << 31)).alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("freq")).filter("freq > 1")
-    found = lookup_join(tokens, shared, ["token"], "freq", total * M)
+    rows = classes.select("uid", "n", "sig")
+    bits, _ = shared_keys(rows, lambda batch: iter([_key(_tokens(batch)).ravel()]), shard_bits(rows, total * M * 8, SHARD_BYTES), 1 << 62)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token = _tokens(batch)
+            row, col = np.nonzero(passes(shared.value, _key(token).ravel()).reshape(token.shape))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(token[row, col].view(np.int64))], ["uid", "n", "token"])
+
+    # the filter lets a few pairs pass that one class has alone; the count leaves them out
+    tokens = store.keep(rows.mapInArrow(pick, "uid long, n long, token long"), "tokens")
+    freq = tokens.groupBy("token").agg(F.count("*").alias("freq")).filter("freq > 1")
+    found = lookup_join(tokens, freq, ["token"], "freq", max(1, tokens.count()))
     # pairs that no other class has come first in the order and count towards the prefix, but need no list
     mine = found.groupBy("uid", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("t"))
     mine = mine.withColumn("t", F.slice("t", F.lit(1), F.greatest(F.lit(0), F.size("t") - (MATCH - 1))))
@@ -224,7 +246,7 @@ def near_duplicates(docs: DataFrame, store: Store, id_col: str = "doc_id", text_
     one = part.groupBy("n", "a", "b").agg(F.min(F.struct("uid", "doc_id", "sig")).alias("m"), F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     classes = store.keep(one.select("n", "a", "b", "m.uid", "m.doc_id", "m.sig", "least", "rows"), "classes")
     n_classes = classes.count()
-    lists = store.keep(_prefix(classes, n_classes), "prefix")
+    lists = store.keep(_prefix(classes, n_classes, store), "prefix")
     alone = lists.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
     lists = store.keep(lookup_join(lists, alone, ["token"], "size", max(1, lists.count())), "lists")
     total = lists.count()
@@ -253,6 +275,7 @@ def near_duplicates(docs: DataFrame, store: Store, id_col: str = "doc_id", text_
     first = named.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
     named = lookup_join(named.select("n", "a", "b", "rows", "label"), first, ["label"], "size", n_classes).select("n", "a", "b", "rows", "component_id")
     named = store.keep(named, "components")
+    store.only("signatures", "components")
     out = lookup_join(part.select("uid", "doc_id", "h", "n", "a", "b"), named, ["n", "a", "b"], "rows", signed.count()).select("uid", "doc_id", "h", "n", "component_id")
     out = out.unionByName(signed.filter("n = 0 or doc_id is null").select("uid", "doc_id", "h", "n", F.col("doc_id").alias("component_id")))
     return out.select("uid", "doc_id", "h", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -265,7 +288,8 @@ def drop_near_duplicates(docs: DataFrame, store: Store, id_col: str = "doc_id",
     """
     marks = store.keep(near_duplicates(docs, store, id_col, text_col).select("doc_id", "h", "kept"), "marks")
     counted = marks.filter("doc_id is not null").groupBy("doc_id", "h").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).filter("not kept or rows > 1")
-    open_ = store.keep(counted, "open")
+    open_ = store.keep(counted, "left-open")
+    store.only("left-open")
     id_, h, flag = unused(docs, "_id", "_h", "_flag")
     keyed = docs.withColumns({id_: F.col(id_col).cast("long"), h: F.xxhash64(utf8(F.col(text_col)))})
     sifted = flagged(keyed, [id_, h], bit_filter(open_, ["doc_id", "h"]), flag)

@@ -208,6 +208,7 @@ def nearest(rows: DataFrame, store: Store, id_col: str = "vec_id", vec_col: str
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     lists = ids.withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy(F.col("query").alias("point")).agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("best"))
     lists = store.keep(lists.join(asked.groupBy("point").agg(F.count("*").alias("asks")), "point"), "lists")
+    store.only("asked", "lists")
     out = lookup_join(asked, lists, ["point"], "asks", asked.count())
     out = out.withColumn("best", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("vec_id")), 1, k))
     return out.select(F.col("vec_id").alias("query_id"), F.posexplode("best").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score")

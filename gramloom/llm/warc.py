@@ -245,4 +245,5 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = store.keep(write_arc(table(spark, sf_dir, "pages")), "arc", codec="none")
     repeats = store.keep(revisits(store.keep(arc_index(arcs), "index")), "revisits")
     warcs = store.keep(to_warc(arcs, repeats), "warc", codec="none")
+    store.only("warc")
     return read_warc(warcs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url")
