@@ -15,9 +15,13 @@ longest-previous-factor arrays over suffixes sorted in many small shards, to a d
 
 Later exact copies go first, without any of that, since an earlier document has all their windows; so a group
 of thousands of copies costs no more than one text. Which keys occur in several documents is counted for all
-texts; the answer comes back as a filter of ``KEY_BITS`` bits, a bound that doesn't grow with the input (a
-fuller filter lets more segments pass, never fewer). A shard gets a segment once from each task, with the
-places of all its copies. The number of shards grows with the bytes of the texts.
+texts; the answer comes back as a filter of 16 MB, a bound that doesn't grow with the input (a
+fuller filter lets more segments pass, never fewer). Before segments are dealt out, a task settles equal ones
+among about ``FLUSH`` bytes of them by itself: all but the first document's are removed, and only that one's goes
+on. Keys that come from ``HEAVY`` such parts or more have a filter of their own; their windows are dealt out
+singly, by their own hash. So a passage that a third of all documents share sends each window once from each
+part, and the windows at its edges, which differ by document, spread over all shards. The number of shards
+grows with the bytes of the texts.
 
 Defined results: null text is empty; texts shorter than ``WINDOW`` bytes keep all; rows with the same
 doc_id are rows of their own and neither is earlier; a row without doc_id keeps all and is nobody's earlier
@@ -36,9 +40,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Store, bit_filter, flagged, lookup_join, table, utf8
+from ._keys import by_shard, passes, shard_bits, shared_keys
 from ._text import Buffer, chunks, mix, range_hashes
 
-WINDOW, GRAM, KEY_BITS, SHARD_BYTES, FLUSH, SORTED_AT_ONCE = 50, 20, 27, 4_000_000, 8_000_000, 200_000
+WINDOW, GRAM, SHARD_BYTES, FLUSH, SORTED_AT_ONCE, HEAVY = 50, 20, 4_000_000, 8_000_000, 200_000, 256
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -67,60 +72,10 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[int, Buffer, np.ndarray, np.ndar
         yield first, buf, text[new], mix(key[new]), where[new], np.diff(np.append(new, len(key)))
 
 
-def _by_shard(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of ``keys`` by shard, the shards present, and where each begins (one more at the end)."""
-    shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    order = np.argsort(shard, kind="stable")
-    names, begin = np.unique(shard[order], return_index=True)
-    return order, names, np.append(begin, len(keys))
-
-
-def _shared_keys(texts: DataFrame, bits: int) -> np.ndarray:
-    """A filter over the keys that occur in several documents: bit k is for keys whose first KEY_BITS bits are k."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            keys = np.concatenate(kept)
-            # of several entries for a key here, one says that it is shared
-            keys.sort()
-            plain = keys >> np.uint64(1)
-            again = np.concatenate(([False], plain[1:] == plain[:-1]))
-            first = np.flatnonzero(~again)
-            any_ = np.maximum.reduceat((keys & np.uint64(1)).astype(bool) | again, first) if len(first) else np.empty(0, bool)
-            keys = plain[first] << np.uint64(1) | any_.astype(np.uint64)
-            order, names, begin = _by_shard(keys, bits)
-            return pa.RecordBatch.from_arrays([pa.array(names), pa.array([keys[order[a:b]].tobytes() for a, b in zip(begin, begin[1:])], pa.binary())], ["shard", "keys"])
-
-        for batch in batches:
-            for k in range(0, len(batch), 512):
-                for _, _, text, key, _, _ in _runs([x.encode("utf-8", "surrogatepass") for x in batch.column(0).slice(k, 512).to_pylist()]):
-                    kept.append(_distinct(key, text))
-                    size += len(kept[-1])
-                if size * 8 > FLUSH:
-                    yield flush()
-                    kept, size = [], 0
-        if size:
-            yield flush()
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
-        keys.sort()
-        plain = keys >> np.uint64(1)
-        shared = plain[1:][plain[1:] == plain[:-1]]
-        shared = np.concatenate((shared, plain[keys & np.uint64(1) == 1])) << np.uint64(1)
-        at = np.unique(shared >> np.uint64(64 - KEY_BITS + 3))  # bytes of the filter
-        part = np.zeros(len(at), np.uint8)
-        bit = np.uint8(1) << ((shared >> np.uint64(64 - KEY_BITS)) & np.uint64(7)).astype(np.uint8)
-        np.bitwise_or.at(part, np.searchsorted(at, shared >> np.uint64(64 - KEY_BITS + 3)), bit)
-        return pd.DataFrame({"at": [at.astype(np.uint32).tobytes()], "part": [part.tobytes()]})
-
-    # at most 5 bytes for each byte of the filter come to the driver
-    out = np.zeros(1 << (KEY_BITS - 3), np.uint8)
-    for r in texts.select("text").mapInArrow(count, "shard long, keys binary").groupBy("shard").applyInPandas(meet, "at binary, part binary").toLocalIterator():
-        np.bitwise_or.at(out, np.frombuffer(r["at"], np.uint32), np.frombuffer(r["part"], np.uint8))
-    return out
+def _keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for k in range(0, len(batch), 512):
+        for _, _, text, key, _, _ in _runs([x.encode("utf-8", "surrogatepass") for x in batch.column(0).slice(k, 512).to_pylist()]):
+            yield _distinct(key, text)
 
 
 def _distinct(key: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -189,23 +144,32 @@ def _words(windows: np.ndarray) -> list[np.ndarray]:
     return [x.astype(np.uint64) for x in full.view(">u8").T]
 
 
-def _removed(texts: DataFrame, keys: np.ndarray, bits: int) -> DataFrame:
+def _removed(texts: DataFrame, keys: tuple[np.ndarray, np.ndarray], bits: int) -> DataFrame:
     """(uid, start, end): byte ranges of the texts (uid, doc_id, text) that are removed; they may overlap."""
     shared = texts.sparkSession.sparkContext.broadcast(keys)
-    names = ["shard", "uid", "doc", "start", "count", "data"]
+    names = ["shard", "uid", "doc", "start", "count", "data", "done"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            uid, doc, key, start, count = (np.concatenate([h[i] for h in held]) for i in range(5))
-            data = np.concatenate([h[5] for h in held])
+            uid, doc, key, start, count, same = (np.concatenate([h[i] for h in held]) for i in range(6))
+            data = np.concatenate([h[6] for h in held])
             place = np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1)
-            order, shards, begin = _by_shard(key, bits)
+            # of equal segments here, the first document's goes on, and those of later ones are settled
+            order = np.lexsort((doc, same))
+            new = np.flatnonzero(np.concatenate(([True], same[order][1:] != same[order][:-1])))
+            least = np.empty(len(doc), np.int64)
+            least[order] = np.repeat(doc[order][new], np.diff(np.append(new, len(order))))
+            later = doc > least
+            ranges = np.stack([uid[later], start[later], start[later] + count[later] + WINDOW - 1], 1)
+            first = np.flatnonzero(~later)
+            order, shards, begin = by_shard(key[first], bits)
             cols: list[list] = [[] for _ in names]
-            for s, a, b in zip(shards, begin, begin[1:]):
-                o = order[a:b]
-                for c, v in zip(cols, (s, uid[o].tobytes(), doc[o].tobytes(), start[o].astype(np.uint32).tobytes(), count[o].astype(np.uint32).tobytes(), data[_ranges(place[o], count[o] + WINDOW - 1)].tobytes())):
+            for n, (s, a, b) in enumerate(zip(shards, begin, begin[1:])):
+                o = first[order[a:b]]
+                done = ranges[n :: len(shards)]
+                for c, v in zip(cols, (s, uid[o].tobytes(), doc[o].tobytes(), start[o].astype(np.uint32).tobytes(), count[o].astype(np.uint32).tobytes(), data[_ranges(place[o], count[o] + WINDOW - 1)].tobytes(), done.tobytes())):
                     c.append(v)
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names)
 
@@ -214,12 +178,20 @@ def _removed(texts: DataFrame, keys: np.ndarray, bits: int) -> DataFrame:
                 part = batch.slice(k, 512)
                 uids, docs = (part.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
                 for first, buf, text, key, where, count in _runs([x.encode("utf-8", "surrogatepass") for x in part.column(2).to_pylist()]):
-                    top = key >> np.uint64(64 - KEY_BITS)
-                    hit = np.flatnonzero(shared.value[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8) & 1)
-                    if len(hit):
-                        t, w, c = text[hit], where[hit], count[hit]
-                        held.append((uids[first + t], docs[first + t], key[hit], w - buf.start[t], c, buf.raw[_ranges(w, c + WINDOW - 1)]))
-                        size += len(held[-1][5])
+                    hit = passes(shared.value[0], key)
+                    text, key, where, count = text[hit], key[hit], where[hit], count[hit]
+                    if not len(key):
+                        continue
+                    single = passes(shared.value[1], key)
+                    if single.any():  # a window at a time
+                        alone = _ranges(where[single], count[single])
+                        text = np.concatenate((text[~single], np.repeat(text[single], count[single])))
+                        key = np.concatenate((key[~single], mix(buf.hash(alone, alone + WINDOW))))
+                        where = np.concatenate((where[~single], alone))
+                        count = np.concatenate((count[~single], np.ones(len(alone), np.int64)))
+                    same = buf.hash(where, where + count + WINDOW - 1)
+                    held.append((uids[first + text], docs[first + text], key, where - buf.start[text], count, same, buf.raw[_ranges(where, count + WINDOW - 1)]))
+                    size += len(held[-1][6])
                 if size > FLUSH:
                     yield flush()
                     held, size = [], 0
@@ -229,6 +201,7 @@ def _removed(texts: DataFrame, keys: np.ndarray, bits: int) -> DataFrame:
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
         get = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
         uid, doc, start, count, data = get("uid", np.int64), get("doc", np.int64), get("start", np.uint32).astype(np.int64), get("count", np.uint32).astype(np.int64), get("data", np.uint8)
+        done = get("done", np.int64).reshape(-1, 3)
         place = np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1)
         # windows as places in the shard's text; those whose hash only one document has are alone in the order
         owner, at = np.repeat(np.arange(len(count)), count), _ranges(place, count)
@@ -251,9 +224,10 @@ def _removed(texts: DataFrame, keys: np.ndarray, bits: int) -> DataFrame:
         a = gone[first]
         b = gone[np.append(np.flatnonzero(first)[1:], len(gone)) - 1] if len(gone) else a
         begin = start[owner[a]] + at[a] - place[owner[a]]
-        return pd.DataFrame({"uid": uid[owner[a]], "start": begin, "end": begin + (b - a) + WINDOW})
+        found = np.stack([uid[owner[a]], begin, begin + (b - a) + WINDOW], 1)
+        return pd.DataFrame(np.concatenate((done, found)), columns=["uid", "start", "end"])
 
-    return texts.select("uid", "doc_id", "text").mapInArrow(deal, "shard long, uid binary, doc binary, start binary, count binary, data binary").groupBy("shard").applyInPandas(sort, "uid long, start long, end long")
+    return texts.select("uid", "doc_id", "text").mapInArrow(deal, "shard long, uid binary, doc binary, start binary, count binary, data binary, done binary").groupBy("shard").applyInPandas(sort, "uid long, start long, end long")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
@@ -287,19 +261,19 @@ def repeated_passages(docs: DataFrame, store: Store, id_col: str = "doc_id", tex
     may = (F.col("n_bytes") >= WINDOW) & F.col("doc_id").isNotNull()
     first = store.keep(info.filter(may).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.max("n_bytes").alias("bytes")), "first")
     size = first.agg(F.sum("bytes")).first()[0] or 0
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
-    bits = max(1, int(np.ceil(np.log2(shards))))
+    bits = shard_bits(docs, size, SHARD_BYTES)
     # a filter tells which texts have no copies; of the others the first is found by a join
     several = first.filter("rows > 1").select("sha", F.col("first").alias("doc_id"))
     tagged = flagged(text.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW)), ["sha"], bit_filter(several, ["sha"]))
     single = tagged.filter(~F.col("flag")).select("doc_id", "text", "sha")
     firsts = tagged.filter("flag").select("doc_id", "text", "sha").join(first.select("sha", F.col("first").alias("doc_id")), ["sha", "doc_id"]).dropDuplicates(["sha", "doc_id"]).select("doc_id", "text", "sha")
     texts = store.keep(single.unionByName(firsts).withColumn("uid", F.monotonically_increasing_id()), "texts")
-    ranges = store.keep(_removed(texts, _shared_keys(texts, bits), bits).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+    ranges = store.keep(_removed(texts, shared_keys(texts.select("text"), _keys_of, bits, HEAVY), bits).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
     hit = flagged(texts.select("uid", "text"), ["uid"], bit_filter(ranges.select("uid"), ["uid"])).filter("flag").drop("flag")
     cuts = store.keep(_cut(hit.join(ranges, "uid")), "cuts")
     results = texts.select("uid", "sha", F.col("doc_id").alias("first")).join(cuts, "uid", "left").drop("uid", "first")
     results = store.keep(first.select("sha", "first", "rows").join(results, "sha"), "results")
+    store.only("info", "results")
     mine = lookup_join(info.filter(may), results, ["sha"], "rows", total)
     later = F.col("doc_id") > F.col("first")
     nothing = F.array().cast("array<array<bigint>>")

@@ -521,3 +521,10 @@ def test_permutations_and_draws(spark):
         assert spark.range(1).select(mixing.hypergeometric(lit(good), lit(bad), lit(draws), F.col("id"))).first()[0] == want
     wide = [r[0] for r in spark.range(500).select(mixing.hypergeometric(lit(300_000), lit(700_000), lit(400_000), F.col("id"))).collect()]
     assert abs(np.mean(wide) - 120_000) < 60
+
+
+def test_repeats_with_heavy_keys(docs, texts, store, monkeypatch):
+    """With every key a heavy one, windows are dealt out singly, with the same result."""
+    monkeypatch.setattr(repeats, "HEAVY", 1)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeated_passages(docs, store).collect()}
+    assert got == brute.without_repeats(texts)
