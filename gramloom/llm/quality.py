@@ -2,7 +2,8 @@
 
 Grades: 0 for low quality, 1 for good quality but toxic, 2 for good and not toxic. With a score s that is
 linear in hashed text features and ordered thresholds t0 < t1, P(grade > k) = 1 / (1 + exp(t_k - s)): the
-weights are shared by all thresholds. The expected grade is the sum of these tail probabilities; a
+weights are shared by all thresholds. The upper threshold is fixed below 0, so that a text of unknown words
+counts as clean, and weights speak against a text. The expected grade is the sum of these tail probabilities; a
 document is kept if P(grade >= 2) >= ``keep_at``.
 
 A word's features are its core (without punctuation at its ends), the core's first bytes (``HEADS``),
@@ -33,11 +34,13 @@ from pyspark.sql import types as T
 from ._common import table, unused, utf8
 from ._text import Buffer, chunks, mix
 
-BITS, HEADS, LEAST, SMOOTH, SAMPLE, KEEP_AT, STEPS = 20, (4, 6), 5, 20, 8000, 0.5, 250
+BITS, HEADS, LEAST, SMOOTH, SAMPLE, KEEP_AT, STEPS = 20, (4, 6), 5, 20, 8000, 0.65, 250
 #: Values of a word's features: core, heads, then punctuation, capitals and repetition, which a whole text may share.
 SCALE = np.array([30.0, *[30.0] * len(HEADS), 2.0, 2.0, 2.0])
 #: The prior on the distance of the thresholds: its strength, and its middle.
 GAP = (1e-2, 4.0)
+#: The upper threshold is -ANCHOR: a text without any known feature has score 0, and is taken to be clean.
+ANCHOR = 3.0
 
 
 def features(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -119,26 +122,23 @@ def fit(grades: np.ndarray, blocks: list[Block], steps: int = STEPS, penalty: fl
         first += len(at) - 1
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        """Of the weights, t0 and log(t1 - t0), with its gradient."""
-        w, t0, gap = x[:m], x[m], np.exp(x[m + 1])
+        """Of the weights and log(t1 - t0), with its gradient."""
+        w, gap = x[:m], np.exp(x[m])
         s = np.zeros(n)
         for k, cols, values, at in own:
             sums = np.concatenate(([0.0], np.cumsum(w[cols] * values)))
             s[k : k + len(at) - 1] = sums[at[1:]] - sums[at[:-1]]
-        p0, p1 = _sigmoid(s - t0), _sigmoid(s - t0 - gap)
+        p0, p1 = _sigmoid(s + ANCHOR + gap), _sigmoid(s + ANCHOR)
         like = np.maximum(np.select([grades == 0, grades == 1], [1 - p0, p0 - p1], p1), 1e-12)
         by0 = np.select([grades == 0, grades == 1], [1.0, -1.0], 0.0) / like * p0 * (1 - p0) / n
         by1 = np.select([grades == 1, grades == 2], [1.0, -1.0], 0.0) / like * p1 * (1 - p1) / n
         g_w = penalty * w
         for k, cols, values, at in own:
             g_w += np.bincount(cols, np.repeat((by0 + by1)[k : k + len(at) - 1], np.diff(at)) * values, minlength=m)
-        far = x[m + 1] - np.log(GAP[1])
-        return -np.log(like).mean() + penalty / 2 * w @ w + GAP[0] / 2 * far**2, np.concatenate((g_w, [-(by0 + by1).sum(), -by1.sum() * gap + GAP[0] * far]))
+        far = x[m] - np.log(GAP[1])
+        return -np.log(like).mean() + penalty / 2 * w @ w + GAP[0] / 2 * far**2, np.concatenate((g_w, [by0.sum() * gap + GAP[0] * far]))
 
-    x = np.zeros(m + 2)
-    share = np.array([((grades > k).sum() + 0.5) / (n + 1) for k in (0, 1)])
-    x[m] = np.log(1 / share[0] - 1)
-    x[m + 1] = np.log(max(0.1, np.log(1 / share[1] - 1) - x[m]))
+    x = np.append(np.zeros(m), np.log(GAP[1]))
     f, g = loss(x)
     memory: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(steps):
@@ -167,7 +167,7 @@ def fit(grades: np.ndarray, blocks: list[Block], steps: int = STEPS, penalty: fl
             break
     weights = np.zeros(1 << BITS, np.float32)
     weights[names] = x[:m]
-    return Model(weights, (float(x[m]), float(x[m] + np.exp(x[m + 1]))))
+    return Model(weights, (float(-ANCHOR - np.exp(x[m])), -ANCHOR))
 
 
 def _fitted(rated: DataFrame, steps: int) -> DataFrame:
