@@ -131,6 +131,7 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.marks: dict[str, list[int]] = {"": []}
         self.reset()
         # only a tokenizer that parts words as PLAIN has it, and lower-cases, may go by its model
         probe = ["Wor", "wor", "\u00c9t\u00e9", "a", "zz", "\u0100b", "WOR!?", "b.", "\u00e9''", "q<|", "x_,"]
@@ -146,8 +147,12 @@ class Words:
         core = m[1].lower()
         if not core.isascii():
             core = "".join(map(self.letters.__getitem__, core.encode()))
-        out = [t.id for t in self.model.tokenize(core)]
-        return out + [t.id for t in self.model.tokenize(m[2])] if m[2] else out
+        marks = self.marks.get(m[2])
+        if marks is None:
+            if len(self.marks) > 10_000:
+                self.marks = {"": []}
+            marks = self.marks[m[2]] = [t.id for t in self.model.tokenize(m[2])]
+        return [t.id for t in self.model.tokenize(core)] + marks
 
     def _learn(self) -> None:
         """Ids of the words that were numbered since the last time."""
