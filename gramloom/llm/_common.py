@@ -17,7 +17,19 @@ from pyspark.sql import types as T
 HEAVY = 1000
 
 
+#: Rows of an Arrow batch at most: texts may be long, and a task holds a batch or two.
+BATCH_ROWS = 512
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +52,7 @@ class Store:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        bound_batches(spark)
         self.spark, self.path, self.names = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", set()
 
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
