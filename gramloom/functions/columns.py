@@ -87,7 +87,7 @@ def gram_similarity(xs: Column, ys: Column) -> Column:
     return F.size(xs) + F.size(ys) - emd_1d(xs, ys)
 
 
-def ngram_movers_distance(left: Column, right: Column, n: int = 2, invert: bool = False, normalize: bool = False) -> Column:
+def gram_movers_distance(left: Column, right: Column, n: int = 2, invert: bool = False, normalize: bool = False) -> Column:
     """Distance (or, inverted, similarity) of two words by moving their n-grams.
 
     Normalised, both are shares of all grams; where neither word has any, the result is 0.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import gram_similarity, grams, ngram_movers_distance, num_grams, positions
+from ..functions.columns import gram_similarity, grams, gram_movers_distance, num_grams, positions
 
 
 def gram_table(words: DataFrame, word: str = "word", n: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -17,7 +17,7 @@ def gram_table(words: DataFrame, word: str = "word", n: int = 2, keep: tuple[str
 
 def pair_scores(pairs: DataFrame, left: str, right: str, n: int = 2) -> DataFrame:
     """Adds similarity, distance and their normalised forms to pairs of words."""
-    score = lambda invert, normalize: ngram_movers_distance(F.col(left), F.col(right), n, invert, normalize)
+    score = lambda invert, normalize: gram_movers_distance(F.col(left), F.col(right), n, invert, normalize)
     return pairs.withColumns({"similarity": score(True, False), "distance": score(False, False), "similarity_norm": score(True, True), "distance_norm": score(False, True)})
 
 
@@ -53,7 +53,7 @@ def fuzzy_self_join(words: DataFrame, min_similarity: float, n: int = 2, word: s
     a, b = (tokens.select(F.col("w").alias(c), F.col("n_grams").alias(f"n_{c}"), "gram", "k") for c in ("left", "right"))
     near = (F.least("n_left", "n_right") >= F.greatest("n_left", "n_right") * ratio - 1e-9) & (F.col("left") < F.col("right"))
     pairs = a.join(b, ["gram", "k"]).filter(near).select("left", "right").distinct()
-    score = ngram_movers_distance(F.col("left"), F.col("right"), n, invert=True, normalize=True)
+    score = gram_movers_distance(F.col("left"), F.col("right"), n, invert=True, normalize=True)
     return pairs.withColumn("similarity", score).filter(F.col("similarity") >= min_similarity - 1e-12)
 
 

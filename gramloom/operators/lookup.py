@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import END, START, emd_1d, gram_similarity, grams, ngram_movers_distance, positions, sizes
+from ..functions.columns import END, START, emd_1d, gram_similarity, grams, gram_movers_distance, positions, sizes
 from ..functions.text import casefold
 from ..plans.settle import numbered, settled
 
@@ -109,7 +109,7 @@ class GramIndex:
         return cls(spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/filters") if filter_n else None, tuple(n), case_sensitive, filter_n)
 
     def lookup(self, queries: DataFrame, word: str = "query", top_k: int = 5, dim: float = 1, normalize: bool = False, scoring: str = "v6", invert: bool = True, prune: bool = False, id_col: str | None = None) -> DataFrame:
-        """(qid, query, rank, word, score, nmd2): the best words for each distinct query (or each ``id_col``), best first.
+        """(qid, query, rank, word, score, sim2): the best words for each distinct query (or each ``id_col``), best first.
 
         * ``v6``: the best 2k by score, ranked again by score and the similarity by 2-grams, k rows.
         * ``v5``: up to 2k rows by score. With ``invert=False`` the score is a distance, 1 - score when
@@ -168,11 +168,11 @@ class GramIndex:
         best = best.filter(F.col("rank") <= limit) if limit > 0 else best
         best = best.join(self.vocab_table.withColumnRenamed("word", "found"), "word_id").join(folded.select("qid", "query", "word"), "qid")
         # the similarity by 2-grams is only needed for the few rows that are left
-        nmd2 = ngram_movers_distance(F.col("word"), F.col("found"), 2, True, normalize)
-        best = best.withColumn("nmd2", F.round(nmd2, 9))
+        sim2 = gram_movers_distance(F.col("word"), F.col("found"), 2, True, normalize)
+        best = best.withColumn("sim2", F.round(sim2, 9))
         if scoring == "v6":
-            again = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("nmd2"), "hit", "word_id")
+            again = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("sim2"), "hit", "word_id")
             best = best.withColumn("rank", F.row_number().over(again)).filter(F.col("rank") <= top_k)
         if not invert and not v3:
             best = best.withColumn("score", (1.0 if normalize else 0.0) - F.col("score"))
-        return best.select("qid", "query", "rank", F.col("found").alias("word"), "score", "nmd2")
+        return best.select("qid", "query", "rank", F.col("found").alias("word"), "score", "sim2")

@@ -136,7 +136,7 @@ def _lookup(name: str, sql: str, n: tuple[int, ...] = (2, 4), filter_n: int = 3,
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         index = GramIndex.build(_names(spark, sf_dir), n=n, filter_n=filter_n)
         out = index.lookup(_typos(spark, sf_dir), **options)
-        return out.select("query", "rank", "word", F.round("score", 6).alias("score"), F.round("nmd2", 6).alias("nmd2"))
+        return out.select("query", "rank", "word", F.round("score", 6).alias("score"), F.round("sim2", 6).alias("sim2"))
 
     query(name, sql)(run)
 
@@ -167,7 +167,7 @@ def lookup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _bench_words(spark, sf_dir)
     typos = words.filter(F.length("word") > 5).select(X.casefold(F.expr("substring(word, 1, length(word) - 1)")).alias("query")).distinct()
     out = GramIndex.build(words).lookup(typos, top_k=3, normalize=True)
-    return out.select("query", "rank", "word", F.round("score", 6).alias("score"), F.round("nmd2", 6).alias("nmd2"))
+    return out.select("query", "rank", "word", F.round("score", 6).alias("score"), F.round("sim2", 6).alias("sim2"))
 
 
 @query("wordlist_vocabulary", "SELECT DISTINCT lower(p_type) AS word FROM part")
@@ -185,7 +185,7 @@ def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def add_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part")
     out = GramIndex.build(part.filter("p_size > 25"), word="p_name").add(part, "p_name").lookup(_typos(spark, sf_dir), top_k=1, normalize=True)
-    return out.select("query", "rank", "word", F.round("score", 6).alias("score"), F.round("nmd2", 6).alias("nmd2"))
+    return out.select("query", "rank", "word", F.round("score", 6).alias("score"), F.round("sim2", 6).alias("sim2"))
 
 
 # word sets

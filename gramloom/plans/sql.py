@@ -35,17 +35,17 @@ def lookup(vocab: str, queries: str, n_list: tuple[int, ...], k: int, filter_n:
     cand = f"cand AS (SELECT DISTINCT query, word_id FROM ({gram_rows('q', filter_n, 'query', 'query')}) a JOIN ({gram_rows('v', filter_n, 'word_id, word')}) b ON a.gram = b.gram)," if filter_n and not v3 else ""
     semi = "SEMI JOIN cand USING (query, word_id)" if filter_n and not v3 else ""
     limit = {"v6": 2 * k, "v5": 2 * k, "v5b": k, "v3": k}[mode]
-    nmd2 = f"""coalesce((SELECT sum(len(a.pos) + len(b.pos) - {emd("a.pos", "b.pos")}) FROM g2q a JOIN g2v b ON a.gram = b.gram WHERE a.query = s.query AND b.word_id = s.word_id), 0){" / (len(s.query) + len(s.word) + 2)" if normalize or v3 else ""}"""
-    final = "row_number() OVER (PARTITION BY query ORDER BY score DESC, nmd2 DESC, hit, word_id)" if mode == "v6" else "rk"
+    sim2 = f"""coalesce((SELECT sum(len(a.pos) + len(b.pos) - {emd("a.pos", "b.pos")}) FROM g2q a JOIN g2v b ON a.gram = b.gram WHERE a.query = s.query AND b.word_id = s.word_id), 0){" / (len(s.query) + len(s.word) + 2)" if normalize or v3 else ""}"""
+    final = "row_number() OVER (PARTITION BY query ORDER BY score DESC, sim2 DESC, hit, word_id)" if mode == "v6" else "rk"
     return f"""WITH v AS (SELECT row_number() OVER (ORDER BY word) - 1 AS word_id, word FROM ({vocab})), q AS ({queries}),
       gv AS ({grams_v}), gq AS ({grams_q}), g2v AS ({gram_rows("v", 2, "word_id, word")}), g2q AS ({gram_rows("q", 2, "query", "query")}), {cand}
       j AS (SELECT gq.query, gv.word_id, gv.word, gq.n, gq.first, gq.pos AS x, gv.pos AS y FROM gq JOIN gv ON gq.n = gv.n AND gq.gram = gv.gram),
       per AS (SELECT query, word_id, word, n, sum(({value}) * ({weight})) AS s, min(first) AS first FROM j {semi} GROUP BY ALL),
       scored AS (SELECT query, word_id, word, round(pow(sum(pow(greatest(s, 0), {dim})) / {len(n_list)}, 1.0 / {dim}), 9) AS score, min(n * 100000 + first) AS hit FROM per GROUP BY query, word_id, word),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, hit, word_id) AS rk FROM scored),
-      best AS (SELECT s.*, round({nmd2}, 9) AS nmd2 FROM ranked s WHERE rk <= {limit}),
+      best AS (SELECT s.*, round({sim2}, 9) AS sim2 FROM ranked s WHERE rk <= {limit}),
       done AS (SELECT *, {final} AS rank FROM best)
-      SELECT query, rank::INT AS rank, word, round(score, 6) AS score, round(nmd2, 6) AS nmd2 FROM done WHERE rank <= {k if mode == "v6" else limit}"""
+      SELECT query, rank::INT AS rank, word, round(score, 6) AS score, round(sim2, 6) AS sim2 FROM done WHERE rank <= {k if mode == "v6" else limit}"""
 
 
 def word_set(vocab: str, queries: str, n_list: tuple[int, ...], filter_n: int, k: int, least: float = 0.0) -> str:

@@ -12,7 +12,7 @@ from gramloom.operators.word_set import WordSet
 from gramloom.plans.settle import numbered
 
 WORDS = "banana bandana ananas cabana havana hello yellow mellow jello cello blackberry chromosome chrysanthemum installation cartwheel bewilderment assalamualaikum waalaikumsalam".split()
-#: query: (word, score, nmd2) normalised
+#: query: (word, score, sim2) normalised
 KNOWN = {
     "asalamalaikum": [("assalamualaikum", 0.692449, 0.855043), ("waalaikumsalam", 0.509764, 0.654983), ("chrysanthemum", 0.103022, 0.206044)],
     "walaikumalasam": [("waalaikumsalam", 0.566484, 0.838095), ("assalamualaikum", 0.432505, 0.645161)],
@@ -47,12 +47,12 @@ def found(df, *cols):
 
 @pytest.mark.parametrize("prune", [False, True])
 def test_known_lookups(index, asked, prune):
-    got = found(index.lookup(asked, top_k=3, normalize=True, prune=prune), "score", "nmd2")
+    got = found(index.lookup(asked, top_k=3, normalize=True, prune=prune), "score", "sim2")
     assert got == KNOWN
 
 
 def test_raw_lookup(index, asked):
-    got = found(index.lookup(asked.filter("query = 'yelow'"), top_k=3), "score", "nmd2")
+    got = found(index.lookup(asked.filter("query = 'yelow'"), top_k=3), "score", "sim2")
     assert got == {"yelow": [("yellow", 7.9, 11.8), ("mellow", 4.916667, 7.833333)]}
 
 
@@ -131,7 +131,7 @@ def test_fuzzy_self_join(spark, vocab):
     for least in (0.3, 0.6, 1.0):
         got = {(r.left, r.right) for r in fuzzy_self_join(vocab, least).collect()}
         names = sorted({*WORDS, "Banana"})
-        want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if P.ngram_movers_distance(a, b, 2, True, True) >= least}
+        want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if P.gram_movers_distance(a, b, 2, True, True) >= least}
         assert got == want
     with pytest.raises(ValueError):
         fuzzy_self_join(vocab, 0)
