@@ -76,6 +76,17 @@ def test_regex_finds_the_same():
     assert re.fullmatch(keys_to_regex(["Ab"]), "ab")
 
 
+def test_both_ways_to_search_agree(monkeypatch):
+    from gramloom.operators import patterns
+
+    r, found = random.Random(6), []
+    cases = [({"".join(r.choices("ab.( \n", k=r.randint(1, 5))) for _ in range(9)}, "".join(r.choices("abc.( \n", k=60))) for _ in range(200)]
+    for limit in (1000, 0):
+        monkeypatch.setattr(patterns, "MAX_REGEX_KEYS", limit)
+        found.append([[*PatternSet.fromkeys(keys).finditer(text)] for keys, text in cases])
+    assert found[0] == found[1]
+
+
 def test_columns(spark):
     p = PatternSet({"the": "T", "there": "R", "he": "H"})
     df = spark.createDataFrame([(1, "there the he"), (2, None), (3, "")], "i int, t string")
