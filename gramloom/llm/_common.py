@@ -17,15 +17,18 @@ from pyspark.sql import types as T
 HEAVY = 1000
 
 
-#: Rows of an Arrow batch at most: texts may be long, and a task holds a batch or two.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch at most: texts may be long, and a task holds a batch or two.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch to BATCH_ROWS."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lowers the session's rows and bytes per Arrow batch; results are lazy, so the settings stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark.conf.get("gramloom.batch.bytes", None) is None:
+        spark.conf.set(size, str(BATCH_BYTES))
+        spark.conf.set("gramloom.batch.bytes", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, as set for the session.
 
-    Only where a session has none (a local test) a temporary folder is made and set.
+    Only where a local session has none (a test) a temporary folder is made and set; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gramloom.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gramloom-")
         spark.conf.set("gramloom.checkpoint.dir", base)
     return base.rstrip("/")
@@ -49,6 +54,7 @@ class Store:
     """A folder of its own for one run's written tables.
 
     A written table cuts the lineage: a lost executor costs no recomputation of what stands before it.
+    Results are lazy and read from here, so the folder stays until its owner calls ``close``, when they are written.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
@@ -64,12 +70,20 @@ class Store:
 
     def only(self, *names: str) -> None:
         """Removes all tables but ``names``; nothing lazy may read them any more."""
-        context = self.spark.sparkContext
         for name in self.names - set(names):
-            path = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.path}/{name}")
         self.names &= set(names)
 
+    def close(self) -> None:
+        """Removes the folder; nothing lazy may read from it any more."""
+        self._delete(self.path)
+        self.names = set()
+
+    def _delete(self, path: str) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has each key once and in ``weight`` the key's number of left rows.

@@ -13,8 +13,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Bits of a filter, whatever the input: 16 MB. A fuller filter lets more keys pass, never fewer.
-KEY_BITS = 27
+from ._common import Store
+
+#: The least and the greatest size of a filter, as powers of 2 in bits: 16 and 64 MB. It grows with the keys between
+#: these bounds; a fuller filter lets more keys pass, never fewer.
+LEAST_BITS, MOST_BITS = 27, 29
 PART = 8_000_000
 
 
@@ -26,17 +29,23 @@ def by_shard(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return order, names, np.append(begin, len(keys))
 
 
+def _filter_bits(bits: np.ndarray) -> int:
+    return int(len(bits) * 8).bit_length() - 1
+
+
 def passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Which keys' first KEY_BITS bits are in a filter."""
-    top = key >> np.uint64(64 - KEY_BITS)
+    """Which keys' first bits are in a filter."""
+    top = key >> np.uint64(64 - _filter_bits(bits))
     return (bits[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def shared_keys(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, heavy: int) -> tuple[np.ndarray, np.ndarray]:
+def shared_keys(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.ndarray]], n_keys: float, bits: int, per_task: int, heavy: int, store: Store, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Filters over the keys that several documents have, and over those from at least ``heavy`` parts.
 
-    ``entries`` gives arrays of keys for a batch of rows, a key once for each document or marked.
+    ``entries`` gives arrays of keys for a batch of rows, a key once for each document or marked. There are about
+    ``n_keys`` of them. Keys meet in 2 ** ``bits`` shards, about ``per_task`` in a task, so a task's share doesn't grow.
     """
+    size = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(n_keys, 1) * 4)))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
@@ -71,21 +80,31 @@ def shared_keys(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np
         marked = np.maximum.reduceat((keys & np.uint64(1)).astype(bool), new)
         out = []
         for some in (plain[new[(times > 1) | marked]], plain[new[times >= heavy]]):
-            place = some << np.uint64(1) >> np.uint64(64 - KEY_BITS)
+            place = some << np.uint64(1) >> np.uint64(64 - size)
             at = np.unique(place >> np.uint64(3))  # bytes of the filter
             part = np.zeros(len(at), np.uint8)
             np.bitwise_or.at(part, np.searchsorted(at, place >> np.uint64(3)), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
             out.append((len(out), at.astype(np.uint32).tobytes(), part.tobytes()))
         return pd.DataFrame(out, columns=["kind", "at", "part"])
 
-    # at most 5 bytes for each byte of a filter come to the driver, shard by shard
-    out = np.zeros(1 << (KEY_BITS - 3), np.uint8), np.zeros(1 << (KEY_BITS - 3), np.uint8)
-    for r in rows.mapInArrow(count, "shard long, keys binary").groupBy("shard").applyInPandas(meet, "kind int, at binary, part binary").toLocalIterator():
+    dealt = rows.mapInArrow(count, "shard long, keys binary").repartition(tasks(rows, bits, per_task), "shard")
+    found = store.keep(dealt.groupBy("shard").applyInPandas(meet, "kind int, at binary, part binary"), name)
+    # written by all tasks at once; at most 5 bytes for each byte of a filter come to the driver, a few shards at a time
+    out = np.zeros(1 << (size - 3), np.uint8), np.zeros(1 << (size - 3), np.uint8)
+    for r in found.toLocalIterator():
         np.bitwise_or.at(out[r["kind"]], np.frombuffer(r["at"], np.uint32), np.frombuffer(r["part"], np.uint8))
     return out
 
 
+def _least_tasks(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shard_bits(rows: DataFrame, amount: float, per_shard: float) -> int:
     """Bits for a number of shards that grows with ``amount``, at least the session's number of shuffle partitions."""
-    shards = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), amount / per_shard, 2)
-    return int(np.ceil(np.log2(shards)))
+    return int(np.ceil(np.log2(max(_least_tasks(rows), amount / per_shard, 2))))
+
+
+def tasks(rows: DataFrame, bits: int, per_task: int) -> int:
+    """Tasks for 2 ** ``bits`` shards, at least the session's number of shuffle partitions."""
+    return max(_least_tasks(rows), -(-(1 << bits) // per_task))

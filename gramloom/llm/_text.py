@@ -1,8 +1,9 @@
 """Words and their hashes for many texts at once, in numpy.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D of the UTF-8 text, with A-Z lower-cased. Its hash
-is a polynomial over the bytes modulo 2**64, mixed at the end. All constants come from a fixed seed, so
-every process has the same hashes.
+A word is a run of bytes other than 0x20 and 0x09-0x0D of the UTF-8 text, with A-Z lower-cased. A range's hash
+is a polynomial over its bytes modulo 2**64, mixed at the end. Such polynomials have colliding strings that are
+known for every base, so words also have a polynomial modulo the prime 2**61 - 1 (``prime_hashes``). All
+constants come from a fixed seed, so every process has the same hashes.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint6
 BASE = int(_RNG.integers(1 << 40, 1 << 60)) * 8 + 5
 COMBINE = _RNG.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CHUNK = 1 << 19
+PRIME = np.uint64((1 << 61) - 1)
+PRIME_BASE = int(_RNG.integers(1 << 59, 1 << 60))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -43,6 +46,44 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Modulo the prime."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Products of numbers below the prime, modulo the prime, from halves of 31 bits."""
+    low, half = np.uint64((1 << 31) - 1), np.uint64(31)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    return _fold(a1 * b1 * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + _fold(a0 * b0))
+
+
+_PRIME_POW = [np.ones(1, np.uint64)]
+
+
+def _prime_powers(n: int) -> np.ndarray:
+    while len(_PRIME_POW[0]) < n:
+        k = len(_PRIME_POW[0])
+        _PRIME_POW[0] = np.concatenate((_PRIME_POW[0], _times(_PRIME_POW[0], np.uint64(pow(PRIME_BASE, k, int(PRIME))))))
+    return _PRIME_POW[0]
+
+
+def prime_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of ranges of bytes, none of which overlap or are empty: polynomials modulo the prime."""
+    if not len(start):
+        return np.empty(0, np.uint64)
+    size = end - start
+    first = np.cumsum(size) - size
+    within = np.arange(size.sum()) - np.repeat(first, size)
+    # one more than the byte, so that zero bytes count; sums of halves stay below 2**64 for words of up to 32 MB
+    byte, power = data[within + np.repeat(start, size)].astype(np.uint64) + np.uint64(1), _prime_powers(int(size.max()))
+    high = np.add.reduceat((power >> np.uint64(31))[within] * byte, first)
+    low = np.add.reduceat((power & np.uint64((1 << 31) - 1))[within] * byte, first)
+    return _fold(_times(_fold(high), np.uint64(1 << 31)) + _fold(low))
+
+
 def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``size`` bytes together; a longer text is alone."""
     first, total = 0, 0
@@ -95,6 +136,18 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndar
     return mix(out + size.astype(np.uint64)), begin
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start .. start + size - 1 of each range, one after another."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes (at least one) from each a and from each b on are the same."""
+    if not len(size):
+        return np.empty(0, bool)
+    return np.logical_and.reduceat(data[ranges(a, size)] == data[ranges(b, size)], np.cumsum(size) - size)
+
+
 def range_hashes(data: np.ndarray, start: np.ndarray, size: int, chunk: int = 1 << 20) -> np.ndarray:
     """Of the ``size`` bytes from each start (ascending) on."""
     out, up = np.empty(len(start), np.uint64), powers(chunk + size + 1)

@@ -15,7 +15,7 @@ longest-previous-factor arrays over suffixes sorted in many small shards, to a d
 
 Later exact copies go first, without any of that, since an earlier document has all their windows; so a group
 of thousands of copies costs no more than one text. Which keys occur in several documents is counted for all
-texts; the answer comes back as a filter of 16 MB, a bound that doesn't grow with the input (a
+texts; the answer comes back as a filter of 16 to 64 MB, as the number of keys demands (a
 fuller filter lets more segments pass, never fewer). Before segments are dealt out, a task settles equal ones
 among about ``FLUSH`` bytes of them by itself: all but the first document's are removed, and only that one's goes
 on. Keys that come from ``HEAVY`` such parts or more have a filter of their own; their windows are dealt out
@@ -40,10 +40,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Store, bit_filter, flagged, lookup_join, table, utf8
-from ._keys import by_shard, passes, shard_bits, shared_keys
-from ._text import Buffer, chunks, mix, range_hashes
+from ._keys import by_shard, passes, shard_bits, shared_keys, tasks
+from ._text import Buffer, chunks, equal_ranges, mix, range_hashes, ranges
 
-WINDOW, GRAM, SHARD_BYTES, FLUSH, SORTED_AT_ONCE, HEAVY = 50, 20, 4_000_000, 8_000_000, 200_000, 256
+WINDOW, GRAM, SHARD_BYTES, TASK_SHARDS, FLUSH, SORTED_AT_ONCE, HEAVY = 50, 20, 4_000_000, 4, 8_000_000, 200_000, 256
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -87,11 +87,6 @@ def _distinct(key: np.ndarray, text: np.ndarray) -> np.ndarray:
     return key[new] << np.uint64(1) | (text[new] != text[end]).astype(np.uint64)
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start .. start + size - 1 of each range, one after another."""
-    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-
-
 def _parts(edges: np.ndarray, n: int, size: int) -> Iterator[tuple[int, int]]:
     """Ranges that end at an edge, of about ``size``."""
     a = 0
@@ -144,6 +139,17 @@ def _words(windows: np.ndarray) -> list[np.ndarray]:
     return [x.astype(np.uint64) for x in full.view(">u8").T]
 
 
+def later_copies(data: np.ndarray, place: np.ndarray, count: np.ndarray, doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which segments have the same bytes as the first document's segment of the same hash and size; equal hashes are no proof."""
+    order = np.lexsort((doc, count, hashes))
+    new = np.flatnonzero(np.concatenate(([True], (hashes[order][1:] != hashes[order][:-1]) | (count[order][1:] != count[order][:-1]))))
+    first = np.empty(len(doc), np.int64)
+    first[order] = np.repeat(order[new], np.diff(np.append(new, len(order))))
+    later = doc > doc[first]
+    later[later] = equal_ranges(data, place[later], place[first[later]], count[later] + WINDOW - 1)
+    return later
+
+
 def _removed(texts: DataFrame, keys: tuple[np.ndarray, np.ndarray], bits: int) -> DataFrame:
     """(uid, start, end): byte ranges of the texts (uid, doc_id, text) that are removed; they may overlap."""
     shared = texts.sparkSession.sparkContext.broadcast(keys)
@@ -156,20 +162,15 @@ def _removed(texts: DataFrame, keys: tuple[np.ndarray, np.ndarray], bits: int) -
             uid, doc, key, start, count, same = (np.concatenate([h[i] for h in held]) for i in range(6))
             data = np.concatenate([h[6] for h in held])
             place = np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1)
-            # of equal segments here, the first document's goes on, and those of later ones are settled
-            order = np.lexsort((doc, same))
-            new = np.flatnonzero(np.concatenate(([True], same[order][1:] != same[order][:-1])))
-            least = np.empty(len(doc), np.int64)
-            least[order] = np.repeat(doc[order][new], np.diff(np.append(new, len(order))))
-            later = doc > least
-            ranges = np.stack([uid[later], start[later], start[later] + count[later] + WINDOW - 1], 1)
+            later = later_copies(data, place, count, doc, same)
+            settled = np.stack([uid[later], start[later], start[later] + count[later] + WINDOW - 1], 1)
             first = np.flatnonzero(~later)
             order, shards, begin = by_shard(key[first], bits)
             cols: list[list] = [[] for _ in names]
             for n, (s, a, b) in enumerate(zip(shards, begin, begin[1:])):
                 o = first[order[a:b]]
-                done = ranges[n :: len(shards)]
-                for c, v in zip(cols, (s, uid[o].tobytes(), doc[o].tobytes(), start[o].astype(np.uint32).tobytes(), count[o].astype(np.uint32).tobytes(), data[_ranges(place[o], count[o] + WINDOW - 1)].tobytes(), done.tobytes())):
+                done = settled[n :: len(shards)]
+                for c, v in zip(cols, (s, uid[o].tobytes(), doc[o].tobytes(), start[o].astype(np.uint32).tobytes(), count[o].astype(np.uint32).tobytes(), data[ranges(place[o], count[o] + WINDOW - 1)].tobytes(), done.tobytes())):
                     c.append(v)
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names)
 
@@ -184,13 +185,13 @@ def _removed(texts: DataFrame, keys: tuple[np.ndarray, np.ndarray], bits: int) -
                         continue
                     single = passes(shared.value[1], key)
                     if single.any():  # a window at a time
-                        alone = _ranges(where[single], count[single])
+                        alone = ranges(where[single], count[single])
                         text = np.concatenate((text[~single], np.repeat(text[single], count[single])))
                         key = np.concatenate((key[~single], mix(buf.hash(alone, alone + WINDOW))))
                         where = np.concatenate((where[~single], alone))
                         count = np.concatenate((count[~single], np.ones(len(alone), np.int64)))
                     same = buf.hash(where, where + count + WINDOW - 1)
-                    held.append((uids[first + text], docs[first + text], key, where - buf.start[text], count, same, buf.raw[_ranges(where, count + WINDOW - 1)]))
+                    held.append((uids[first + text], docs[first + text], key, where - buf.start[text], count, same, buf.raw[ranges(where, count + WINDOW - 1)]))
                     size += len(held[-1][6])
                 if size > FLUSH:
                     yield flush()
@@ -204,7 +205,7 @@ def _removed(texts: DataFrame, keys: tuple[np.ndarray, np.ndarray], bits: int) -
         done = get("done", np.int64).reshape(-1, 3)
         place = np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1)
         # windows as places in the shard's text; those whose hash only one document has are alone in the order
-        owner, at = np.repeat(np.arange(len(count)), count), _ranges(place, count)
+        owner, at = np.repeat(np.arange(len(count)), count), ranges(place, count)
         h = range_hashes(data, at, WINDOW)
         order = np.lexsort((doc[owner], h))
         hs, ds = h[order], doc[owner][order]
@@ -227,7 +228,8 @@ def _removed(texts: DataFrame, keys: tuple[np.ndarray, np.ndarray], bits: int) -
         found = np.stack([uid[owner[a]], begin, begin + (b - a) + WINDOW], 1)
         return pd.DataFrame(np.concatenate((done, found)), columns=["uid", "start", "end"])
 
-    return texts.select("uid", "doc_id", "text").mapInArrow(deal, "shard long, uid binary, doc binary, start binary, count binary, data binary, done binary").groupBy("shard").applyInPandas(sort, "uid long, start long, end long")
+    dealt = texts.select("uid", "doc_id", "text").mapInArrow(deal, "shard long, uid binary, doc binary, start binary, count binary, data binary, done binary")
+    return dealt.repartition(tasks(texts, bits, TASK_SHARDS), "shard").groupBy("shard").applyInPandas(sort, "uid long, start long, end long")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
@@ -268,7 +270,9 @@ def repeated_passages(docs: DataFrame, store: Store, id_col: str = "doc_id", tex
     single = tagged.filter(~F.col("flag")).select("doc_id", "text", "sha")
     firsts = tagged.filter("flag").select("doc_id", "text", "sha").join(first.select("sha", F.col("first").alias("doc_id")), ["sha", "doc_id"]).dropDuplicates(["sha", "doc_id"]).select("doc_id", "text", "sha")
     texts = store.keep(single.unionByName(firsts).withColumn("uid", F.monotonically_increasing_id()), "texts")
-    ranges = store.keep(_removed(texts, shared_keys(texts.select("text"), _keys_of, bits, HEAVY), bits).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+    # a key for about every 15 bytes
+    keys = shared_keys(texts.select("text"), _keys_of, size / 15, bits, TASK_SHARDS, HEAVY, store, "keys")
+    ranges = store.keep(_removed(texts, keys, bits).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
     hit = flagged(texts.select("uid", "text"), ["uid"], bit_filter(ranges.select("uid"), ["uid"])).filter("flag").drop("flag")
     cuts = store.keep(_cut(hit.join(ranges, "uid")), "cuts")
     results = texts.select("uid", "sha", F.col("doc_id").alias("first")).join(cuts, "uid", "left").drop("uid", "first")

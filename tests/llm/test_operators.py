@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gramloom.llm import dedup, html, html_pages, media, mixing, neighbours, packing, quality, repeats, secrets, warc
+from gramloom.llm import _text
 from gramloom.llm._common import Store, bit_filter, flagged, lookup_join
 
 from . import brute
@@ -528,3 +529,56 @@ def test_repeats_with_heavy_keys(docs, texts, store, monkeypatch):
     monkeypatch.setattr(repeats, "HEAVY", 1)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeated_passages(docs, store).collect()}
     assert got == brute.without_repeats(texts)
+
+
+# hashes
+
+
+def test_prime_hashes_are_polynomials_modulo_the_prime():
+    r = random.Random(12)
+    data = bytes(r.randrange(256) for _ in range(3000))
+    start = np.arange(0, 2900, 49)
+    end = start + np.array([r.randint(1, 49) for _ in start])
+    prime = int(_text.PRIME)
+    want = [sum((data[i] + 1) * pow(_text.PRIME_BASE, i - a, prime) for i in range(a, b)) % prime for a, b in zip(start.tolist(), end.tolist())]
+    assert _text.prime_hashes(np.frombuffer(data, np.uint8), start, end).tolist() == want
+    a, b = ([r.randrange(prime) for _ in range(500)] + [prime - 1, 0] for _ in range(2))
+    assert _text._times(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == [x * y % prime for x, y in zip(a, b)]
+
+
+def test_words_that_collide_modulo_powers_of_two_are_not_linked(spark, store):
+    thue_morse = lambda a, b: "".join((a, b)[i.bit_count() % 2] for i in range(1024))
+    one, two = thue_morse("a", "b"), thue_morse("b", "a")
+    buf = _text.Buffer([one.encode(), two.encode()])
+    assert len(set(buf.hash(*buf.words()[:2]).tolist())) == 1  # the polynomial modulo 2**64 alone
+    rows = [(1, one), (2, two), (3, f"{one} a b c d e"), (4, f"{two} a b c d e"), (5, one)]
+    got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), store).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_runs_are_compared_by_their_words():
+    texts = ["a b c d e f g h", "a b c d e f g h i", "x b c d e f g h i", "a b", "A b", "a b c", ""]
+    sets = dedup.Sets([t.encode() for t in texts])
+    for i, s in enumerate(texts):
+        for j, t in enumerate(texts):
+            x, y = brute.shingle_set(s), brute.shingle_set(t)
+            assert sets.similar(i, j) == (bool(x and y) and 100 * len(x & y) >= 75 * len(x | y))
+    sets._same = lambda x, i, y, j: np.zeros(len(i), bool)  # as if all equal hashes were accidents
+    assert not sets.similar(0, 1)
+
+
+def test_match_one_posts_whole_signatures(docs, texts, store):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_duplicates(docs, store, match=1).collect()}
+    assert got == brute.components(texts)
+
+
+def test_equal_hashes_are_no_proof_of_equal_segments():
+    size = repeats.WINDOW
+    parts = [b"a" * size, b"b" * size, b"a" * size, b"a" * (size + 1), b"b" * size, b"a" * size]
+    data, sizes = np.frombuffer(b"".join(parts), np.uint8), np.array([*map(len, parts)])
+    doc, nothing = np.array([1, 2, 3, 4, 0, 1]), np.zeros(6, np.uint64)
+    # one hash for all: the first document's segment is b, so only its copy is settled
+    got = repeats.later_copies(data, np.cumsum(sizes) - sizes, sizes - size + 1, doc, nothing)
+    assert got.tolist() == [False, True, False, False, False, False]
+    got = repeats.later_copies(data, np.cumsum(sizes) - sizes, sizes - size + 1, doc, np.array([7, 8, 7, 7, 8, 7], np.uint64))
+    assert got.tolist() == [False, True, True, False, False, False]
