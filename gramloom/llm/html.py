@@ -1,8 +1,11 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, then a consistent choice over the whole tree.
 
-``parse`` reads a page as browsers do in the main: raw text elements, comments, void elements, implied ends
-of paragraphs and list items, character references. Inline elements and ``br`` don't part a block; any other
-element's start or end does. Nodes are the block elements and, as leaves, the blocks of text.
+``parse`` reads a page as browsers do in the main: quoted attribute values of any length, raw text elements,
+comments, void elements, implied ends of paragraphs and list items, character references. Inline elements and
+``br`` don't part a block; any other element's start or end does. Nodes are the block elements and, as leaves, the
+blocks of text. What isn't shown (scripts, styles, frames, templates, comments), form controls and drawings
+(``svg``) are left out; formulas, and what stands in for objects and scripts, are read like other text. Work is
+linear in the page, however deep its elements.
 
 A node's features are its tag, the kinds of tokens in its class, id and role (``KINDS``), the kinds of its
 ancestors, its subtree's density (characters a tag, link share, punctuation, paragraphs), its depth, its
@@ -14,7 +17,7 @@ node has a dropped ancestor; of all such choices, the one with the greatest sum
 text block's weighted by the logarithm of its length.
 
 Defined results: null or empty html gives an empty text; a page without main text too; a tag that never ends
-is text; rows are independent, so repeated rows give repeated results and an empty table an empty one; extra
+is text; if a quoted value never ends, its tag and those after it end at the next >; rows are independent, so repeated rows give repeated results and an empty table an empty one; extra
 columns are ignored. Nothing is cut off, however long the page.
 """
 
@@ -34,14 +37,23 @@ from ._common import table, utf8
 
 # Element names of the HTML standard, by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes noscript template xmp svg math object select option button".split())
-HIDDEN = frozenset("head meta link base col hr img input area source track embed param".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark nobr object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math mi mo mn ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics".split()
+)
+#: Read up to their end tag, or to the page's end, as text that isn't shown; xmp's is shown.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Left out up to their end tag; without one, only the tag is.
+SKIPPED = frozenset("svg template select datalist button annotation annotation-xml".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tr", "td", "th"), "thead": ("tbody",), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 LISTS = frozenset("ul ol menu dl table".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s>/]*)((?:[^>"']|"[^"<]{0,4096}"|'[^'<]{0,4096}')*+)>|<(/?)([a-zA-Z][^\s>/]*)([^>]*)>""", re.S)
+#: A comment, a declaration, an odd end tag, or a tag: values follow an equals sign and may be quoted.
+TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s>/]*)((?:[^>=]|=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)*+)>""", re.S)
+#: The same where a quoted value never ended.
+PLAIN_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s>/]*)([^>]*)>", re.S)
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\Z""")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
 #: Kinds of tokens in attributes, and the elements that mean the same.
@@ -52,10 +64,10 @@ KINDS = {
     "foot": (r"foot|copyright|legal|colophon", "footer"),
     "head": (r"header|masthead|banner|topbar|logo|brand", "header"),
     "advert": (r"\bads?\b|\bads?[-_]|[-_]ads?\b|advert|sponsor|promo|commercial", "ins"),
-    "notice": (r"cookie|consent|notice|gdpr|alert|popup|modal|overlay|newsletter|subscribe|signup|paywall", "dialog"),
+    "notice": (r"cookie|consent|notice|gdpr|alert|popup|modal|overlay|newsletter|subscribe|signup|paywall", "dialog noscript"),
     "comment": (r"comment|reply|replies|disqus|discussion|respond", ""),
-    "share": (r"share|social|follow|tags?\b|byline|meta", ""),
-    "form": (r"form|search|login|input", "form fieldset"),
+    "share": (r"share|social|follow|tags?\b|byline|meta|categor|catlinks", ""),
+    "form": (r"form|search|login|input", "form fieldset option optgroup"),
 }
 KIND_TEXT = [re.compile(p, re.I) for p, _ in KINDS.values()]
 KIND_TAGS = {t: i for i, (_, tags) in enumerate(KINDS.values()) for t in tags.split()}
@@ -84,85 +96,144 @@ class Page:
         return len(self.tag) - 1
 
 
-@lru_cache(maxsize=1 << 14)
 def _kinds(tag: str, attributes: str) -> int:
+    return _few_kinds(tag, attributes) if len(attributes) <= 256 else _few_kinds.__wrapped__(tag, attributes)
+
+
+@lru_cache(maxsize=1 << 14)
+def _few_kinds(tag: str, attributes: str) -> int:
     own = " ".join(v.strip("\"'") for _, v in ATTRIBUTE.findall(attributes)) if "=" in attributes else ""
     bits = 1 << KIND_TAGS[tag] if tag in KIND_TAGS else 0
     return bits | sum(1 << i for i, p in enumerate(KIND_TEXT) if own and p.search(own))
 
 
+class _Open:
+    """The open elements: node and name of each, how many there are of a name, and where list parts and lists stand."""
+
+    def __init__(self) -> None:
+        self.nodes, self.names, self.count, self.marks = [0], ["body"], {"body": 1}, []
+
+    def push(self, node: int, name: str) -> None:
+        if name in ITEMS or name in LISTS:
+            self.marks.append(len(self.names))
+        self.nodes.append(node)
+        self.names.append(name)
+        self.count[name] = self.count.get(name, 0) + 1
+
+    def cut(self, k: int) -> None:
+        """Closes all but the first k, of which the body is one."""
+        while len(self.names) > max(k, 1):
+            self.nodes.pop()
+            self.count[self.names.pop()] -= 1
+        while self.marks and self.marks[-1] >= len(self.names):
+            self.marks.pop()
+
+    def close(self, name: str) -> None:
+        """Closes the last element of a name, and what is open within."""
+        k = len(self.names) - 1
+        while self.names[k] != name:
+            k -= 1
+        self.cut(k)
+
+    def item(self, name: str) -> None:
+        """Closes what a part of a list or table ends: the outermost of such parts up to its list or table."""
+        k = len(self.marks) - 1
+        while k >= 0 and self.names[self.marks[k]] not in LISTS and self.names[self.marks[k]] not in ITEMS[name]:
+            k -= 1
+        if k >= 0 and self.names[self.marks[k]] in ITEMS[name]:
+            at = self.marks[k]
+            while at > 1 and self.names[at - 1] in ITEMS[name]:
+                at -= 1
+            self.cut(at)
+
+
 def parse(source: str) -> Page:
-    page, stack, names = Page(), [0], ["body"]
+    page, open_, tags = Page(), _Open(), TAG
     parts: list[str] = []
-    linked, in_link, at = 0, False, 0
+    linked, in_link, at, endless = 0, False, 0, set()
 
     def block() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                page.add("#text", stack[-1], 0, text, min(linked, len(text)))
+                page.add("#text", open_.nodes[-1], 0, text, min(linked, len(text)))
             parts.clear()
         linked = 0
 
+    def end_of(tag: str) -> re.Match | None:
+        """The next end tag of a name; a name without one is looked for once."""
+        if tag in endless:
+            return None
+        m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+        if m is None:
+            endless.add(tag)
+        return m
+
     end = source.rfind(">") + 1
     while at < end:
-        m = TAG.search(source, at, end)
+        less = source.find("<", at, end)
+        m = tags.match(source, less, end) if less >= 0 else None
+        if m is None and less >= 0 and tags is TAG and source[less + 1 : less + 2] in "/abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
+            tags = PLAIN_TAG
+            m = tags.match(source, less, end)
+        stop = (m.start() if m else less + 1) if less >= 0 else end
+        if stop > at:
+            parts.append(source[at:stop])
+            linked += (stop - at) * in_link
+        at = stop
         if m is None:
-            break
-        if m.start() > at:
-            parts.append(source[at : m.start()])
-            linked += (m.start() - at) * in_link
+            continue
         at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        closing, tag, attributes = m[1], m[2], m[3]
         if tag is None:  # a comment, a doctype or an instruction
             continue
         tag = tag.lower()
         if closing:
             if tag == "a":
                 in_link = False
-            elif tag not in INLINE and tag in names:
+            elif tag == "br":
+                parts.append(" ")
+            elif tag == "p" and not open_.count.get("p"):
                 block()
-                while names[-1] != tag and len(names) > 1:
-                    names.pop()
-                    stack.pop()
-                if len(names) > 1:
-                    names.pop()
-                    stack.pop()
-            continue
-        if tag in RAW and not attributes.endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
-            at = close and source.find(">", close.start()) + 1 or len(source)
-            if tag not in ("svg", "math"):
+            elif tag not in INLINE and open_.count.get(tag) and tag != "body":
                 block()
+                open_.close(tag)
+            continue
+        if tag in RAW:
+            last = end_of(tag)
+            block()
+            if tag == "xmp":
+                text = " ".join(source[at : last.start() if last else len(source)].split())
+                if text:
+                    page.add("#text", open_.nodes[-1], 0, text)
+            at = last.end() if last else len(source)
+            continue
+        if tag in SKIPPED and not (tag == "svg" and SELF_CLOSED.search(attributes)):
+            last = end_of(tag)
+            if last:
+                if tag not in ("svg", "annotation", "annotation-xml"):
+                    block()
+                at = last.end()
             continue
-        page.tags[stack[-1]] += 1
+        page.tags[open_.nodes[-1]] += 1
         if tag == "a":
             in_link = True
         if tag == "br":
             parts.append(" ")
-        if tag in INLINE or tag in ("html", "body", "head"):
+        if tag in INLINE or tag in ("html", "body", "head", "svg"):
             if tag == "body":
                 page.kinds[0] |= _kinds(tag, attributes)
             continue
         block()
         if tag in VOID:
             continue
-        if tag in ENDS_P and "p" in names:
-            while names.pop() != "p":
-                stack.pop()
-            stack.pop()
+        if tag in ENDS_P and open_.count.get("p"):
+            open_.close("p")
         if tag in ITEMS:
-            k = len(names) - 1
-            while k > 0 and names[k] not in LISTS and names[k] not in ITEMS[tag]:
-                k -= 1
-            # the outermost of the elements that the new one ends, up to its list or table
-            while k > 1 and names[k] in ITEMS[tag] and names[k - 1] in ITEMS[tag]:
-                k -= 1
-            if k > 0 and names[k] in ITEMS[tag]:
-                del names[k:], stack[k:]
-        stack.append(page.add(tag, stack[-1], _kinds(tag, attributes)))
-        names.append(tag)
+            open_.item(tag)
+        node = page.add(tag, open_.nodes[-1], _kinds(tag, attributes))
+        open_.push(node, tag)
     if at < len(source):
         parts.append(source[at:])
     block()
@@ -220,7 +291,7 @@ def node_features(page: Page) -> np.ndarray:
 class Boosted:
     """Gradient-boosted regression trees for the logistic loss, of fixed depth, split at quantiles."""
 
-    def __init__(self, trees: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 24, least: float = 4.0) -> None:
+    def __init__(self, trees: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 24, least: float = 4.0) -> None:
         self.trees, self.depth, self.rate, self.bins, self.least = trees, depth, rate, bins, least
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Boosted:

@@ -2,7 +2,8 @@
 
 Layouts vary in the element or attribute that marks the article, in what stands around and within it
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments, share links), in its
-length and in how tidy the markup is. The same seed gives the same pages.
+length and in how tidy the markup is. Every fourth page tells nothing by its elements or names: tables or bare
+boxes, where only the text itself, links and place speak. The same seed gives the same pages.
 """
 
 from __future__ import annotations
@@ -72,14 +73,16 @@ class Maker:
         return f'<{(t := self.r.choice(["div", "section", "aside"]))} {self.r.choice(["class", "id"])}="{name}"><p>{self.prose(self.r.randint(5, 40))}</p>{"<button>OK</button>" if self.r.random() < 0.5 else ""}</{t}>'
 
     def form(self) -> str:
-        return f'<form action="/q"{self.attr("search", "login-form")}><label>{self.words(2)}</label><input name="q"><p>{self.words(self.r.randint(2, 12))}</p><button>Go</button></form>'
+        inner = f'<form action="/q"{self.attr("search", "login-form")}><label>{self.words(2)}</label><input name="q"><p>{self.words(self.r.randint(2, 12))}</p><button>Go</button></form>'
+        return f'<div class="{self.r.choice(["respond", "reply-form", "search-box"])}"><h3>{self.words(3)}</h3>{inner}</div>' if self.r.random() < 0.3 else inner
 
     def comments(self) -> str:
         one = lambda: f'<{(t := self.r.choice(["div", "li", "article"]))} class="{self.r.choice(["comment", "reply", "comment-body"])}"><p>{self.prose(self.r.randint(4, 80))}</p></{t}>'
         return f'<{(t := self.r.choice(["section", "div"]))} {self.r.choice(["class", "id"])}="{self.r.choice(["comments", "reader-comments", "discussion", "disqus_thread", "comment-list"])}"><h2>{self.words(1)}</h2>{"".join(one() for _ in range(self.r.randint(1, 6)))}</{t}>'
 
     def share(self) -> str:
-        return f'<div class="{self.r.choice(["share", "social-links", "tags"])}"><ul>{self.links(self.r.randint(2, 5))}</ul></div>'
+        name = self.r.choice(["share", "social-links", "tags", "categories", "pagination", "byline"])
+        return f'<div class="{name}">{self.words(1)}: <ul>{self.links(self.r.randint(1, 5))}</ul></div>' if self.r.random() < 0.6 else f'<div class="{name}"><a href="/">{self.words(2)}</a></div>'
 
     def junk(self) -> str:
         return self.r.choice([self.side, self.advert, self.advert, self.notice, self.form, self.share, self.menu])()
@@ -101,7 +104,45 @@ class Maker:
         shape = self.r.choice(["article", "article", "article", "main", "div", "both", "section"])
         return {"article": f"<article{self.attr('post', 'story')}>{inner}</article>", "main": f"<main>{inner}</main>", "div": f'<div {self.r.choice(["class", "id"])}="{name}">{inner}</div>', "both": f'<main><article><div class="{name}">{inner}</div></article></main>', "section": f'<section class="{name}">{inner}</section>'}[shape]
 
+    def box(self, inner: str) -> str:
+        """An element that says nothing of what it holds."""
+        name = self.r.choice(["", "", f' class="{self.words(1)}{self.n}"', f' id="x{self.r.randint(1, 99)}"', f' class="col-{self.r.randint(1, 12)}"'])
+        return f"<div{name}>{inner}</div>"
+
+    def loose_links(self) -> str:
+        one = lambda: f'<a href="/{self.words(1)}">{self.words(self.r.randint(1, 4))}</a>'
+        gap = self.r.choice([" | ", "<br>", " ", "</div><div>", "</li><li>"])
+        return gap.join(one() for _ in range(self.r.randint(1, 9)))
+
+    def bare_article(self) -> str:
+        size, kind = self.r.choice([2, 3, 5, 9, 14]), self.r.choice(["p", "p", "open p", "div", "br"])
+        title = self.mark(self.words(self.r.randint(2, 8)))
+        out = [self.r.choice([f"<h1>{title}</h1>", f"<h2>{title}</h2>", f"<div>{title}</div>", f"<font size=+2>{title}</font><p>", f"<b>{title}</b><p>"])]
+        for _ in range(size):
+            text = self.mark(self.prose(self.r.choice([10, 30, 60, 120])))
+            if self.r.random() < 0.2:
+                text = text.replace(" ", f' <a href="/{self.words(1)}">{self.words(1)}</a> ', 1)
+            out.append({"p": f"<p>{text}</p>", "open p": f"<p>{text}", "div": self.box(text), "br": f"{text}<br><br>"}[kind])
+        return "".join(out)
+
+    def bare(self) -> str:
+        links, small = self.loose_links, lambda: self.words(self.r.randint(1, 8))
+        around = lambda: self.r.choice([links, links, links, small])()
+        if self.r.random() < 0.5:
+            cell = lambda x: f"<td{self.r.choice(['', ' width=120', ' valign=top'])}>{x}</td>"
+            sides = [cell(around()) for _ in range(self.r.randint(0, 2))]
+            sides.insert(self.r.randint(0, len(sides)), cell(self.bare_article()))
+            rows = [cell(around())] * (self.r.random() < 0.7) + ["".join(sides)] + [cell(f"<center><small>&copy; {around()}</small></center>")] * (self.r.random() < 0.7)
+            return "<table>" + "".join(f"<tr>{x}</tr>" for x in rows) + "</table>"
+        parts = [self.box(around()) for _ in range(self.r.randint(0, 2))]
+        article = self.box(self.bare_article())
+        parts.append(self.box(article) if self.r.random() < 0.5 else article)
+        parts += [self.box(around()) for _ in range(self.r.randint(0, 3))]
+        return self.box("".join(parts)) if self.r.random() < 0.3 else "".join(parts)
+
     def page(self) -> str:
+        if self.r.random() < 0.25:
+            return f"<html><head><title>{self.words(4)}</title></head><body>{self.bare()}</body></html>"
         some = lambda f, p: f() if self.r.random() < p else ""
         top = [some(self.header, 0.5), some(self.menu, 0.7), some(self.notice, 0.3), some(self.advert, 0.5), some(self.form, 0.2), some(self.side, 0.2)]
         low = [some(self.comments, 0.4), some(self.side, 0.4), some(self.share, 0.2), some(self.advert, 0.3), some(self.form, 0.2), some(self.junk, 0.2)]
@@ -114,7 +155,7 @@ class Maker:
         return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{self.words(5)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>{body}{"</body></html>" if self.r.random() < 0.9 else ""}'
 
 
-def pages(count: int = 700, seed: int = 11) -> Iterator[tuple[str, list[str]]]:
+def pages(count: int = 900, seed: int = 11) -> Iterator[tuple[str, list[str]]]:
     """(html, names within the main text's blocks)."""
     for k in range(count):
         m = Maker(seed * 100_003 + k)
