@@ -211,10 +211,9 @@ def parse(source: str) -> Page:
             continue
         if tag in SKIPPED and not (tag == "svg" and SELF_CLOSED.search(attributes)):
             last = end_of(tag)
-            if last:
-                if tag not in ("svg", "annotation", "annotation-xml"):
-                    block()
-                at = last.end()
+            if tag not in ("svg", "annotation", "annotation-xml"):
+                block()
+            at = last.end() if last else at
             continue
         page.tags[open_.nodes[-1]] += 1
         if tag == "a":
