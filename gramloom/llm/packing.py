@@ -10,8 +10,8 @@ k pieces. What stays in open bins at a task's end, fewer than k pieces a class,
 task per ``ROUND`` pieces, and so on; the last round, of one task, packs its rest by best fit. A round
 passes on at most ``LEFT`` pieces per task, so their number falls by more than ten times a round.
 
-Ids are computed once: word by word from a bounded cache, which the tokenizer's rules allow, since its
-pieces never reach over white space. Defined results: null or empty text is the end token alone; rows
+Ids are computed once: word by word from a cache of bounded bytes that holds no word of over ``LONG`` characters,
+where probes show that the tokenizer's pieces never reach over blanks; with other tokenizers, text by text. Defined results: null or empty text is the end token alone; rows
 with the same id are packed as rows of their own; an empty table gives an empty result; extra columns are
 ignored. Memory is bounded by the cache, the open bins and one long text.
 """
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from ._common import Store, table, utf8
 
-CAPACITY, END, ROUND, CACHE = 4096, 2, 1 << 16, 700_000
+CAPACITY, END, ROUND = 4096, 2, 1 << 16
+#: Bounds of the cache: words, their bytes with those of their ids, and the bytes of a word.
+CACHE, CACHE_BYTES, LONG = 700_000, 48 << 20, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -135,10 +137,16 @@ class Words:
         self.reset()
         # only a tokenizer that parts words as PLAIN has it, and lower-cases, may go by its model
         probe = ["Wor", "wor", "\u00c9t\u00e9", "a", "zz", "\u0100b", "WOR!?", "b.", "\u00e9''", "q<|", "x_,"]
-        self.plain = self.tokenizer.model.__class__.__name__ == "BPE" and all(self._plain(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+        self.plain = self.tokenizer.model.__class__.__name__ == "BPE" and all(self._plain(w) == self._whole(w) for w in probe)
+        # only a tokenizer that gives words the same ids wherever they stand may go word by word
+        texts = ["a b", " a", "a ", "a  b", "Wor wor\nWor", "x,\ty.", "a\r\nb", "\u00e9 \u00e9", "the the", "don't 12 34"]
+        self.parted = all(sum(map(self._whole, re.split("[ \n\t\r]", t)), []) == self._whole(t) for t in texts)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def reset(self) -> None:
-        self.number, self.size, self.first, self.ids, self.used = _Numbers(), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
+        self.bytes, self.number, self.size, self.first, self.ids, self.used = 0, _Numbers(), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
 
     def _plain(self, word: str) -> list[int] | None:
         m = PLAIN.match(word)
@@ -166,6 +174,7 @@ class Words:
             self.size, self.first = np.resize(self.size, 2 * len(self.size)), np.resize(self.first, 2 * len(self.first))
         while self.used + total > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.bytes += 4 * total + 4 * sum(map(len, words))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.size[n : n + len(words)] = sizes
         self.first[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
@@ -174,12 +183,22 @@ class Words:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of the whole text. Only ASCII blanks part words here; other white space stays within a word, for the tokenizer."""
+        if not self.parted:
+            return np.array(self._whole(text), np.uint32)
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        out = [self._some(words[k : k + 100_000]) for k in range(0, len(words), 100_000)]
-        return out[0] if len(out) == 1 else np.concatenate(out)
+        out, at = [], 0
+        for k in [i for i, w in enumerate(words) if len(w) > LONG] if len(text) > LONG else []:
+            out += self._parts(words, at, k)
+            out.append(np.array(self._whole(words[k]), np.uint32))
+            at = k + 1
+        out += self._parts(words, at, len(words))
+        return out[0] if len(out) == 1 else np.concatenate(out or [np.empty(0, np.uint32)])
+
+    def _parts(self, words: list[str], start: int, end: int) -> list[np.ndarray]:
+        return [self._some(words[k : min(k + 100_000, end)]) for k in range(start, end, 100_000)]
 
     def _some(self, words: list[str]) -> np.ndarray:
-        if len(self.number) > CACHE:
+        if len(self.number) > CACHE or self.bytes > CACHE_BYTES:
             self.reset()
         which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         if self.number.new:

@@ -640,3 +640,35 @@ def test_equal_hashes_are_no_proof_of_equal_segments():
     assert got.tolist() == [False, True, False, False, False, False]
     got = repeats.later_copies(data, np.cumsum(sizes) - sizes, sizes - size + 1, doc, np.array([7, 8, 7, 7, 8, 7], np.uint64))
     assert got.tolist() == [False, True, True, False, False, False]
+
+
+def test_long_words_and_other_tokenizers(monkeypatch):
+    """Words over the bound aren't cached, the cache stays within its bytes, and byte-level tokenizers go by whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(5)
+    long = ["".join(r.choices("abcdef0123456789+/", k=n)) for n in (63, 64, 65, 200, 5000)]
+    texts = ["", " ", long[3], f"a {long[2]} b {long[4]}", f"{long[1]} {long[0]} don't  stop\n{long[2]}", " the the", "a\t\tb "]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        words, model = packing.Words(path), Tokenizer.from_file(path)
+        assert words.parted == (name == "word_bpe_49k.json")
+        for t in texts:
+            assert words.encode(t).tolist() == model.encode(t, add_special_tokens=False).ids
+    words = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(packing, "CACHE_BYTES", 2000)
+    for _ in range(50):
+        text = " ".join("".join(r.choices("abcdef", k=9)) for _ in range(30))
+        assert words.encode(text).tolist() == words._whole(text) and words.bytes < 2000 + 30 * 100
+
+
+def test_media_memory_and_chunks():
+    import tracemalloc
+
+    data = bytes(random.Random(3).choices(range(32, 123), k=2_000_000))
+    tracemalloc.start()
+    media.fingerprint(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25_000_000  # the whole spectrum alone has 16 MB, in floats of 4 bytes
