@@ -10,10 +10,13 @@ The quotas of all sources are split over the output shards by a binary tree: a n
 the number of blocks its shards hold, drawn from the node's sources by a multivariate hypergeometric
 distribution (a chain of univariate draws, each by inversion from its mode, or by the normal quantile where
 its standard deviation exceeds ``WIDE``). So each shard has an exact quota of each source, its ranks are
-an interval of their own of the source's permutation, and ``mixed`` shuffles within the shard only.
+an interval of their own of the source's permutation, and ``mixed`` shuffles within the shard only: a shard
+is written in slices, by the first bits of its parts' shuffled order, so that no task sorts more than about
+``SHARD_WORDS`` words.
 
 Word offsets in a stream come from two levels of sums: within buckets of about ``BUCKET`` rows, and over
-the buckets of a source; a source with a third of all rows has many buckets. The one global order is over
+the buckets of a source; a source with a third of all rows has many buckets. Rows are dealt to buckets by their id;
+rows of an id (or of none) that at least 1/1000 of all rows have are dealt singly. The one global order is over
 sources, which have a row each; a tree node holds one number for each source.
 
 Defined results: null text has size 0 and takes nothing; a null source is a source of its own, the last;
@@ -28,11 +31,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Store, lookup_join, table, unused, utf8
+from ._common import HEAVY, Store, lookup_join, table, unused, utf8
 
 #: Fixed values of the contract: weights by rank, share of all sizes, and the cap in times of a source's size.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
-BLOCK, LEAST_BLOCKS, BUCKET, WIDE, SHARD_WORDS, MAX_SHARDS = 128, 1024, 1024, 50.0, 1 << 20, 4096
+BLOCK, LEAST_BLOCKS, BUCKET, WIDE, SHARD_WORDS, MAX_SHARDS, TASK_ROWS = 128, 1024, 1024, 50.0, 1 << 20, 4096, 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -218,13 +221,18 @@ def taken_blocks(sizes: DataFrame, store: Store, seed: int = 17, shards: int | N
     if shards is None:
         shards = min(MAX_SHARDS, 1 << max(0, math.ceil(math.log2(max(1, (counted[1] or 0) / SHARD_WORDS)))))
     plan = store.keep(sources.join(splitting_tree(sources, shards, seed, store), "skey"), "plan")
-    rows = lookup_join(sizes, plan, ["skey"], "rows", total)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("buckets")))
-    rows = store.keep(rows.drop("bounds"), "rows")
+    rows = lookup_join(sizes, plan.drop("bounds"), ["skey"], "rows", total)
+    # at most HEAVY ids
+    often = store.keep(sizes.groupBy(F.col("doc_id").alias("often")).agg(F.count("*").alias("n")).filter(F.col("n") >= max(total // HEAVY, 64)).select("often", F.lit(True).alias("single")), "often")
+    rows = rows.join(F.broadcast(often), F.col("doc_id").eqNullSafe(F.col("often")), "left")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.when(F.col("single"), F.col("uid")), F.lit(seed)), F.col("buckets"))).drop("often", "single")
+    # dealt by an explicit number of tasks: the work is in the expressions, not in the bytes
+    tasks = max(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
+    rows = store.keep(rows, "rows")
     over = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("sum")).withColumn("base", F.coalesce(F.sum("sum").over(over), F.lit(0))).select("skey", "bucket", "base")
     within = Window.partitionBy("skey", "bucket").orderBy("doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0))).join(base, ["skey", "bucket"]).withColumn("at", F.col("base") + F.col("own")).drop("own", "base", "bucket")
+    placed = rows.repartition(tasks, "skey", "bucket").withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0))).join(base.repartition(tasks, "skey", "bucket"), ["skey", "bucket"]).withColumn("at", F.col("base") + F.col("own")).drop("own", "base", "bucket")
     placed = lookup_join(placed, plan.select("skey", "bounds", F.col("rows").alias("n")), ["skey"], "n", total).drop("n")
     n, length = F.col("blocks"), F.col("block")
     epochs = F.when(n > 0, F.ceil(F.col("quota") / F.greatest(n, F.lit(1)))).otherwise(F.lit(0)).cast("int")
@@ -255,20 +263,34 @@ def taken_blocks(sizes: DataFrame, store: Store, seed: int = 17, shards: int | N
 
 
 def mixed(taken: DataFrame, seed: int = 17) -> DataFrame:
-    """The mix itself: a row for each taken part, a shard's parts in one partition and shuffled within the shard."""
+    """The mix itself: a row for each taken part, shuffled within its shard, a shard's slices in partitions of their own."""
     parts = taken.select("uid", "doc_id", "skey", F.explode("parts").alias("p")).select("uid", "doc_id", "skey", "p.*")
-    return parts.withColumn("order", F.xxhash64(F.lit(seed), "skey", "rank")).repartition("shard").sortWithinPartitions("shard", "order", "uid", "start")
+    parts = parts.withColumn("order", F.xxhash64(F.lit(seed), "skey", "rank"))
+    return _by_shard(parts, taken, ["uid", "start"])
+
+
+def _by_shard(rows: DataFrame, taken: DataFrame, ties: list[str], shard: str = "shard", order: str = "order") -> DataFrame:
+    """``rows`` by shard and, within it, by ``order``, in as many slices of equal ranges as its words demand."""
+    words = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["length"])
+    total, shards = taken.agg(F.sum(words), F.max(F.array_max(F.transform("parts", lambda x: x["shard"])))).first()
+    slices = 1 << max(0, math.ceil(math.log2(max(1.0, (total or 0) / ((shards or 0) + 1) / SHARD_WORDS))))
+    slice_ = F.floor((F.col(order).cast("double") / 2.0**64 + 0.5) * slices)
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ((shards or 0) + 1) * slices)
+    return rows.repartition(tasks, F.col(shard), slice_).sortWithinPartitions(shard, order, *ties)
 
 
 def mixed_documents(docs: DataFrame, store: Store, text_col: str = "text", seed: int = 17, **names: str) -> DataFrame:
     """``docs`` with the words that the mix takes as text, a row for each row of which it takes any.
 
     A whole epoch's text is as it was, another's the words of its parts, in order; epochs stand one below another.
+    Rows come by shard, that of a row's first part, and shuffled within it.
     """
-    uid, size, parts_, words = unused(docs, "_uid", "_size", "_parts", "_words")
+    uid, size, parts_, words, shard, order = unused(docs, "_uid", "_size", "_parts", "_words", "_shard", "_order")
     rows = store.keep(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
     sizes = store.keep(sizes_of(rows, text_col=text_col, uid=F.col(uid), **names), "sizes")
-    parts = store.keep(taken_blocks(sizes, store, seed).filter(F.size("parts") > 0).select(F.col("uid").alias(uid), F.col("size").alias(size), F.col("parts").alias(parts_)), "parts")
+    taken = store.keep(taken_blocks(sizes, store, seed).filter(F.size("parts") > 0).select("uid", "skey", "size", "parts"), "parts")
+    first = F.array_min(F.transform("parts", lambda p: F.struct(p["epoch"], p["start"], p["shard"], p["rank"])))
+    parts = taken.select(F.col("uid").alias(uid), F.col("size").alias(size), F.col("parts").alias(parts_), first["shard"].alias(shard), F.xxhash64(F.lit(seed), "skey", first["rank"]).alias(order))
     total = lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x["length"])
     out = rows.join(parts, uid).withColumn(words, F.when(total(parts_) % F.col(size) != 0, F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"))))
 
@@ -278,13 +300,16 @@ def mixed_documents(docs: DataFrame, store: Store, text_col: str = "text", seed:
         return F.when(total(own) == F.col(size), F.col(text_col)).otherwise(some)
 
     text = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), F.array_max(F.transform(parts_, lambda p: p["epoch"]))), epoch), lambda t: t != ""), "\n")
-    return out.withColumn(text_col, text).select(*docs.columns)
+    return _by_shard(out.withColumn(text_col, text), taken, [uid], shard, order).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of each row of ``documents``."""
+    """The words that the mix takes of each row of ``documents``, counted in the written shards."""
     store = Store(spark, "mix")
     sizes = store.keep(sizes_of(table(spark, sf_dir, "documents")), "sizes")
-    taken = taken_blocks(sizes, store)
-    words = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["length"])
-    return taken.select("doc_id", "size", "source_size", "target", words.alias("taken"), F.size(F.array_distinct(F.transform("parts", lambda x: x["shard"]))).cast("long").alias("n_shards"))
+    taken = store.keep(taken_blocks(sizes, store), "taken")
+    shards = store.keep(mixed(taken), "shards")
+    found = shards.groupBy("uid").agg(F.sum("length").alias("taken"), F.count_distinct("shard").alias("n_shards"))
+    store.only("taken", "shards")
+    counted = taken.select("uid", "doc_id", "size", "source_size", "target").join(found, "uid", "left")
+    return counted.select("doc_id", "size", "source_size", "target", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "n_shards")))

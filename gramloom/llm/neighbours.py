@@ -10,8 +10,12 @@ tree.
 A query walks all trees with one priority queue: the leaf whose path left the query's side by the
 smallest margin comes next, whichever tree it is in. How many leaves a query visits is chosen at the fit: the
 fewest for which sample queries find ``RECALL`` of their true neighbours in the sample. The points in
-these leaves are scored exactly, in double precision from left to right, where they are filed: a task has a
-shard of one tree's leaves with the queries that visit them, and gives each query's best only.
+these leaves are scored exactly, in double precision from left to right, where they are filed: a group has about
+``SHARD_POINTS`` points of one tree's leaves and a block of the queries that visit them, and gives each query's best
+only. Leaves that outgrow a shard are dealt over several, and so are the queries, so neither the points nor
+the queries of a group grow with the input; scores are computed for ``SLICE`` queries at a time. The number of
+scores is a share of points times queries that the data decide: where vectors have no structure, no search by
+leaves finds nine tenths of the neighbours without visiting a large part of them.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without
 vec_id, take no part, neither do vectors of another length than most (the shorter of two equally
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ._common import Store, lookup_join, table
 
-K, EVERY, TREES, LEAF, SAMPLE, RECALL, SHARD_POINTS, PROBES = 20, 20, 16, 128, 32_768, 0.95, 20_000, 200
+K, EVERY, TREES, LEAF, SAMPLE, RECALL, SHARD_POINTS, SHARD_QUERIES, SLICE, PROBES = 20, 20, 16, 128, 32_768, 0.95, 20_000, 20_000, 256, 200
 
 
 @dataclass
@@ -152,6 +156,12 @@ def nearest(rows: DataFrame, store: Store, id_col: str = "vec_id", vec_col: str
     forest, leaves = fit(lifted(some), k, trees, leaf, recall)
     per_shard = [max(1, int(np.ceil(t.leaves / max(1.0, n_points / SHARD_POINTS)))) for t in forest]
     shared = spark.sparkContext.broadcast((forest, leaves, per_shard))  # bounded by the sample
+    # a leaf's points may be more than a shard's, and all queries may visit one shard
+    deal = max(1, -(-n_points // (SHARD_POINTS * min(t.leaves for t in forest))))
+    # each distinct query asks once, for one more than k, as its own row is among them
+    asked = store.keep(_named(given, points, every, total), "asked")
+    queries = store.keep(points.join(asked.select("point").distinct(), "point", "left_semi").select("point", "v"), "queries")
+    blocks = max(1, -(-queries.count() // SHARD_QUERIES))
 
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
@@ -176,11 +186,15 @@ def nearest(rows: DataFrame, store: Store, id_col: str = "vec_id", vec_col: str
             where = pa.array([r[2] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), batch.column(0).take(where), batch.column(1).take(where), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["tree", "shard", "point", "v", "leaves"])
 
-    # each distinct query asks once, for one more than k, as its own row is among them
-    asked = store.keep(_named(given, points, every, total), "asked")
-    queries = points.join(asked.select("point").distinct(), "point", "left_semi").select("point", "v")
     index = points.select("point", "v").mapInArrow(file, "tree long, shard long, leaf long, point long, v array<double>")
     asks = queries.mapInArrow(ask, "tree long, shard long, point long, v array<double>, leaves array<bigint>")
+    part = lambda n, salt: F.pmod(F.xxhash64("point", F.lit(salt)), F.lit(n)).cast("int")
+    every_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    keys = ["tree", "shard"]
+    if deal > 1 or blocks > 1:
+        keys += ["part", "block"]
+        index = index.withColumn("part", part(deal, 1)).withColumn("block", every_(blocks))
+        asks = asks.withColumn("block", part(blocks, 2)).withColumn("part", every_(deal))
 
     def meet(key: tuple, have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query": np.empty(0, np.int64), "point": np.empty(0, np.int64), "score": np.empty(0)})
@@ -190,18 +204,22 @@ def nearest(rows: DataFrame, store: Store, id_col: str = "vec_id", vec_col: str
         x, q, name = np.stack(have.v.to_numpy()), np.stack(want.v.to_numpy()), have.point.to_numpy()
         names, begin = np.unique(have.leaf.to_numpy(), return_index=True)
         begin = dict(zip(names.tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(have)])))
-        near = x @ q.T
         out = []
         for n, leaves in enumerate(want.leaves):
+            if n % SLICE == 0:
+                near = x @ q[n : n + SLICE].T
             at = np.concatenate([np.arange(*begin[f]) for f in leaves if f in begin] or [np.empty(0, np.int64)]).astype(np.int64)
             if len(at) > 2 * k + 2:  # a margin over the k + 1 that count, for rounding
-                at = at[np.argpartition(-near[at, n], 2 * k + 1)[: 2 * k + 2]]
+                at = at[np.argpartition(-near[at, n % SLICE], 2 * k + 1)[: 2 * k + 2]]
             score = np.add.accumulate(x[at] * q[n], axis=1)[:, -1]
             best = np.lexsort((name[at], -score))[: k + 1]
             out.append((np.full(len(best), want.point.iloc[n]), name[at][best], score[best]))
         return pd.DataFrame(dict(zip(("query", "point", "score"), (np.concatenate(c) for c in zip(*out)))))
 
-    found = store.keep(index.groupBy("tree", "shard").cogroup(asks.groupBy("tree", "shard")).applyInPandas(meet, "query long, point long, score double"), "found")
+    groups = sum(-(-t.leaves // n) for t, n in zip(forest, per_shard)) * deal * blocks
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups // 4)
+    index, asks = (x.repartition(tasks, *keys) for x in (index, asks))
+    found = store.keep(index.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(meet, "query long, point long, score double"), "found")
     # a point has the same score in every tree
     best = found.dropDuplicates(["query", "point"]).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "point"))).filter(F.col("r") <= k + 1)
     ids = best.join(points.select("point", "ids"), "point").select("query", "score", F.explode("ids").alias("vec_id"))

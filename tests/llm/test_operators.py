@@ -672,3 +672,40 @@ def test_media_memory_and_chunks():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 25_000_000  # the whole spectrum alone has 16 MB, in floats of 4 bytes
+
+
+def test_neighbours_in_small_groups(spark, store, monkeypatch):
+    """With groups of 40 points and 7 queries and slices of 3, the same neighbours are found."""
+    r = random.Random(13)
+    rows = [(i, [round(r.gauss(0, 1), 3) for _ in range(8)]) for i in range(700)] + [(None, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = []
+    for sizes in ((20_000, 20_000, 256), (40, 7, 3), (5, 1000, 1)):
+        for name, value in zip(("SHARD_POINTS", "SHARD_QUERIES", "SLICE"), sizes):
+            monkeypatch.setattr(neighbours, name, value)
+        found.append(brute.counted(neighbours.nearest(df, Store(spark, "small"), leaf=32, trees=6).collect()))
+    assert found[0] == found[1] == found[2] and sum(found[0].values()) == 35 * 20
+
+
+def test_mix_of_rows_without_ids(spark, store):
+    """Rows without an id, or with one that a third of all rows have, are dealt over all buckets, and the same words are taken again."""
+    rows = [(None, f"word{i} " * 5, "a") for i in range(3000)] + [(7, "x y z", "a")] * 3000 + [(i, "one two", "b") for i in range(100, 3100)]
+    sizes = store.keep(mixing.sizes_of(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)), "sizes")
+    taken = store.keep(mixing.taken_blocks(sizes, store), "taken")
+    assert taken.count() == 9000
+    spread = spark.read.parquet(f"{store.path}/rows").groupBy("skey", "doc_id").agg(F.count_distinct("bucket").alias("n"), F.max("buckets").alias("all"))
+    assert all(x.n == x["all"] for x in spread.filter("doc_id is null or doc_id = 7").collect())
+    got = {r.skey: (r.t, r.n) for r in taken.groupBy("skey").agg(F.first("target").alias("t"), F.sum(F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["length"])).alias("n")).collect()}
+    assert all(n == pytest.approx(t, rel=0.01) for t, n in got.values())
+
+
+def test_shards_are_written_in_slices(spark, store, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 500)
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(i % 40)), "ab"[i % 2]) for i in range(400)]
+    taken = store.keep(mixing.taken_blocks(mixing.sizes_of(spark.createDataFrame(rows, "doc_id long, text string, source string")), store, shards=4), "taken")
+    mix = mixing.mixed(taken).withColumn("part", F.spark_partition_id()).collect()
+    parts = {}
+    for x in mix:
+        parts.setdefault((x.shard, x.part), []).append(x.order)
+    assert len(parts) > 8 and all(own == sorted(own) for own in parts.values())
+    assert sum(x.length for x in mix) == pytest.approx(1.5 * sum(len(brute.words(t)) for _, t, _ in rows), rel=0.01)
