@@ -457,17 +457,32 @@ def test_archives(spark, store):
     assert brute.counted(same) == brute.counted([(1, "response", None), (1, "revisit", 1), (3, "revisit", 1), (None, "revisit", 1)])
     assert brute.counted(kinds[warc.sha1_base32(b"")]) == brute.counted([(4, "response", None), (5, "revisit", 4)])
     assert warc.revisits(warc.arc_index(arcs), min_bytes=1).count() == 3
+    ids = {r.record_id: r for r in rows}
+    assert len(ids) == len(rows)  # of repeated rows too
+    assert all((r.refers_to_id is None) == (r.record_type == "response") for r in rows)
+    assert all(ids[r.refers_to_id].record_type == "response" and ids[r.refers_to_id].payload_digest == r.payload_digest for r in rows if r.refers_to_id)
+    heads = [h for a in warcs.collect() for h, _ in warc.parse_warc(a.data)]
+    assert sum(h["WARC-Type"] == "warcinfo" for h in heads) == arcs.count() and all("WARC-Refers-To-Date" in h for h in heads if h["WARC-Type"] == "revisit")
     assert warc.read_warc(warc.write_arc(df.limit(0))).count() == 0
 
 
-def test_both_versions_and_wrong_lengths():
+def test_both_versions_and_wrong_lengths(monkeypatch):
     for version, fields in warc.FIELDS.items():
         name = "x.arc.gz"
         good = warc._member(warc.arc_open(name, version)) + warc._member(warc.arc_record(name, version, 9, "http://u", 7, b"<p>"))
         ((head, body),) = warc.parse_arc(good)
         assert tuple(head) == fields and head["URL"] == "http://u" and body.endswith(b"\r\n\r\n<p>")
-        record = warc.convert(head, body, None)
+        record = warc.convert(name, 0, head, body, None)
         ((out, block),) = warc.parse_warc(warc._member(record))
+        # plain, as one member and as many, whatever the size of a piece
+        second = warc.arc_record(name, version, 99, "http://v w", None, b"\n\n filedesc://x 1 2 3 4\n" * 9000)
+        whole = warc.arc_open(name, version) + warc.arc_record(name, version, 9, "http://u", 7, b"<p>") + b"\n" + second
+        forms = [whole, warc._member(whole), good + warc._member(second), warc._member(whole[:100]) + warc._member(whole[100:])]
+        for form in forms:
+            for piece in (7, 1 << 16):
+                monkeypatch.setattr(warc, "PIECE", piece)
+                records = [*warc.parse_arc(form)]
+                assert [r[0]["URL"] for r in records] == ["http://u", "http://v%20w"] and records[1][1].endswith(b"4\n") and records[0] == (head, body)
         assert out["WARC-Date"] == "2024-01-01T00:00:00Z" and out["WARC-Type"] == "response" and block == body
     bad = warc._member(warc.arc_open("x", 1)) + warc._member(b"http://u 0.0.0.0 20240101000000 text/html 99\nshort\n")
     with pytest.raises(ValueError, match="length"):
@@ -709,3 +724,31 @@ def test_shards_are_written_in_slices(spark, store, monkeypatch):
         parts.setdefault((x.shard, x.part), []).append(x.order)
     assert len(parts) > 8 and all(own == sorted(own) for own in parts.values())
     assert sum(x.length for x in mix) == pytest.approx(1.5 * sum(len(brute.words(t)) for _, t, _ in rows), rel=0.01)
+
+
+def test_archives_of_other_writers():
+    body = b"HTTP/1.1 200 OK\nContent-Type: text/html\nServer:x\n\n<p>\r\n\r\n</p>"
+    block = b"1 0 other\nURL IP-address Archive-date Content-type Archive-length\n"
+    data = b"filedesc://f 0.0.0.0 19970101 text/plain %d\n%s\n" % (len(block), block)
+    data += b"http://a b/ c 1.2.3.4 19970101120000 text/html %d\n%s\n" % (len(body), body) + b"dns:x 1.2.3.4 19970101 text/dns 3\nabc\n"
+    (one, first), (two, second) = warc.parse_arc(data)
+    assert one["URL"] == "http://a b/ c" and first == body and two["Content-type"] == "text/dns"
+    assert warc._http(first) == ({"Content-Type": "text/html", "Server": "x"}, b"<p>\r\n\r\n</p>") and warc._http(second) == ({}, b"abc")
+    ((head, _),) = warc.parse_warc(warc.convert("f", 1, two, second, None))
+    assert head["WARC-Date"] == "1997-01-01T00:00:00Z" and head["X-Page-Id"] == "-"
+    for bad in (b"x y z\n", b"http://u 0 0 text/html 3\nabc\n", data[:-6]):
+        with pytest.raises(ValueError):
+            list(warc.parse_arc(bad))
+
+
+def test_reading_members_is_linear():
+    import time
+
+    def took(n):
+        data = b"".join([warc._member(warc.arc_open("x", 1)), *(warc._member(warc.arc_record("x", 1, 0, "http://u", k, b"y" * 500)) for k in range(n))])
+        start = time.perf_counter()
+        assert sum(1 for _ in warc.parse_arc(data)) == n
+        return time.perf_counter() - start
+
+    few, many = min(took(500) for _ in range(3)), min(took(4000) for _ in range(2))
+    assert many < 24 * few + 0.05
