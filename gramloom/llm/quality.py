@@ -2,9 +2,12 @@
 
 Grades: 0 for low quality, 1 for good quality but toxic, 2 for good and not toxic. With a score s that is
 linear in hashed text features and ordered thresholds t0 < t1, P(grade > k) = 1 / (1 + exp(t_k - s)): the
-weights are shared by all thresholds. The upper threshold is fixed below 0, so that a text of unknown words
-counts as clean, and weights speak against a text. The expected grade is the sum of these tail probabilities; a
-document is kept if P(grade >= 2) >= ``keep_at``.
+weights are shared by all thresholds, and both thresholds are fitted with them. The expected grade is the sum of
+these tail probabilities; a document is kept if P(grade >= 2) reaches the model's cut-off.
+
+The cut-off comes from ratings that the fit doesn't see, every ``HELD``-th of the sample: the one that parts grade 2
+from the others best there (clean ones kept less others kept, of each kind the share), in the middle of the gap
+between the ratings on either side.
 
 A word's features are its core (without punctuation at its ends), the core's first bytes (``HEADS``),
 the punctuation at its end, whether it is in capitals, and whether it repeats the word before. Each is
@@ -34,13 +37,11 @@ from pyspark.sql import types as T
 from ._common import table, unused, utf8
 from ._text import Buffer, chunks, mix
 
-BITS, HEADS, LEAST, SMOOTH, SAMPLE, KEEP_AT, STEPS = 20, (4, 6), 5, 20, 8000, 0.65, 250
+BITS, HEADS, LEAST, SMOOTH, SAMPLE, STEPS, HELD = 20, (4, 6), 5, 20, 8000, 250, 5
 #: Values of a word's features: core, heads, then punctuation, capitals and repetition, which a whole text may share.
 SCALE = np.array([30.0, *[30.0] * len(HEADS), 2.0, 2.0, 2.0])
 #: The prior on the distance of the thresholds: its strength, and its middle.
 GAP = (1e-2, 4.0)
-#: The upper threshold is -ANCHOR: a text without any known feature has score 0, and is taken to be clean.
-ANCHOR = 3.0
 
 
 def features(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -70,6 +71,7 @@ def features(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 class Model:
     weights: np.ndarray
     thresholds: tuple[float, float]
+    keep_at: float = 0.5
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -122,23 +124,21 @@ def fit(grades: np.ndarray, blocks: list[Block], steps: int = STEPS, penalty: fl
         first += len(at) - 1
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        """Of the weights and log(t1 - t0), with its gradient."""
-        w, gap = x[:m], np.exp(x[m])
+        """Of the weights, t1 and log(t1 - t0), with its gradient."""
+        w, gap = x[:m], np.exp(x[m + 1])
         s = np.zeros(n)
         for k, cols, values, at in own:
             sums = np.concatenate(([0.0], np.cumsum(w[cols] * values)))
             s[k : k + len(at) - 1] = sums[at[1:]] - sums[at[:-1]]
-        p0, p1 = _sigmoid(s + ANCHOR + gap), _sigmoid(s + ANCHOR)
-        like = np.maximum(np.select([grades == 0, grades == 1], [1 - p0, p0 - p1], p1), 1e-12)
-        by0 = np.select([grades == 0, grades == 1], [1.0, -1.0], 0.0) / like * p0 * (1 - p0) / n
-        by1 = np.select([grades == 1, grades == 2], [1.0, -1.0], 0.0) / like * p1 * (1 - p1) / n
+        value, by0, by1 = likelihood(s, grades, x[m] - gap, x[m])
         g_w = penalty * w
         for k, cols, values, at in own:
             g_w += np.bincount(cols, np.repeat((by0 + by1)[k : k + len(at) - 1], np.diff(at)) * values, minlength=m)
-        far = x[m] - np.log(GAP[1])
-        return -np.log(like).mean() + penalty / 2 * w @ w + GAP[0] / 2 * far**2, np.concatenate((g_w, [by0.sum() * gap + GAP[0] * far]))
+        far = x[m + 1] - np.log(GAP[1])
+        return value + penalty / 2 * w @ w + GAP[0] / 2 * far**2, np.concatenate((g_w, [-by0.sum() - by1.sum(), by0.sum() * gap + GAP[0] * far]))
 
-    x = np.append(np.zeros(m), np.log(GAP[1]))
+    top = (np.sum(grades == 2) + 1) / (n + 2)
+    x = np.concatenate((np.zeros(m), [np.log((1 - top) / top), np.log(GAP[1])]))
     f, g = loss(x)
     memory: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(steps):
@@ -167,26 +167,71 @@ def fit(grades: np.ndarray, blocks: list[Block], steps: int = STEPS, penalty: fl
             break
     weights = np.zeros(1 << BITS, np.float32)
     weights[names] = x[:m]
-    return Model(weights, (float(-ANCHOR - np.exp(x[m])), -ANCHOR))
+    return Model(weights, (float(x[m] - np.exp(x[m + 1])), float(x[m])))
+
+
+def likelihood(s: np.ndarray, grades: np.ndarray, t0: float, t1: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of grades at scores, and its derivatives by s - t0 and by s - t1."""
+    p0, p1, n = _sigmoid(s - t0), _sigmoid(s - t1), max(1, len(s))
+    like = np.maximum(np.select([grades == 0, grades == 1], [1 - p0, p0 - p1], p1), 1e-12)
+    by0 = np.select([grades == 0, grades == 1], [1.0, -1.0], 0.0) / like * p0 * (1 - p0) / n
+    by1 = np.select([grades == 1, grades == 2], [1.0, -1.0], 0.0) / like * p1 * (1 - p1) / n
+    return float(-np.log(like).sum() / n), by0, by1
+
+
+def cut_off(clean: np.ndarray, grades: np.ndarray) -> float:
+    """The probability of grade 2 that parts it best from the others; 0.5 if there is nothing to part."""
+    good, n = grades == 2, len(grades)
+    if not good.any() or good.all():
+        return 0.5
+    order = np.argsort(clean, kind="stable")
+    # gain of keeping what stands at each place and after
+    gain = np.append(np.cumsum((good[order] / good.sum() - ~good[order] / (~good).sum())[::-1])[::-1], 0.0)
+    sorted_ = clean[order]
+    may = np.flatnonzero(np.concatenate(([True], sorted_[1:] > sorted_[:-1])))  # equal ones stay together
+    k = may[gain[may].argmax()]
+    return float((sorted_[k - 1] + sorted_[k]) / 2) if k else float(sorted_[0] / 2)
 
 
 def _fitted(rated: DataFrame, steps: int) -> DataFrame:
-    """(cols, weights, t0, t1) of a model fitted to the texts (grade, text) of one partition, in its task."""
+    """(cols, weights, t0, t1, keep_at) of a model fitted to the texts (grade, text) of one partition, in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grades, found = [], []
+        grades, found, held, seen = [], [], [], 0
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
-                grades += part.column(0).to_pylist()
-                found.append(block_of([x.encode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()]))
-        if found:
+            for k in range(0, len(batch), 250):  # a multiple of HELD
+                part = batch.slice(k, 250)
+                grade, texts = part.column(0).to_pylist(), [x.encode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()]
+                apart = [(seen + i) % HELD == HELD - 1 for i in range(len(texts))]
+                seen += len(texts)
+                block = block_of(texts)
+                held.append(_some(block, grade, apart))
+                kept = _some(block, grade, [not x for x in apart])
+                found.append(kept[0])
+                grades += kept[1]
+        if grades:
             model = fit(np.array(grades), found, steps)
+            scores = np.concatenate([_block_scores(block, model.weights) for block, _ in held])
+            keep_at = cut_off(model.tails(scores)[1], np.array([g for _, own in held for g in own], np.int64))
             cols = np.flatnonzero(model.weights).astype("<i4")
-            row = (cols.tobytes(), model.weights[cols].astype("<f4").tobytes(), *model.thresholds)
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["cols", "weights", "t0", "t1"])
+            row = (cols.tobytes(), model.weights[cols].astype("<f4").tobytes(), *model.thresholds, keep_at)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["cols", "weights", "t0", "t1", "keep_at"])
+
+    return rated.mapInArrow(run, "cols binary, weights binary, t0 double, t1 double, keep_at double")
+
+
+def _some(block: Block, grades: list[int], chosen: list[bool]) -> tuple[Block, list[int]]:
+    """The chosen texts of a block, and their grades."""
+    cols, values, at = block
+    which = np.array(chosen, bool)
+    inside = np.repeat(which, np.diff(at))
+    return (cols[inside], values[inside], np.concatenate(([0], np.cumsum(np.diff(at)[which])))), [g for g, x in zip(grades, chosen) if x]
+
 
-    return rated.mapInArrow(run, "cols binary, weights binary, t0 double, t1 double")
+def _block_scores(block: Block, weights: np.ndarray) -> np.ndarray:
+    cols, values, at = block
+    sums = np.concatenate(([0.0], np.cumsum(weights[cols] * values)))
+    return sums[at[1:]] - sums[at[:-1]]
 
 
 def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> Model | None:
@@ -201,15 +246,16 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, steps: int
         return None
     weights = np.zeros(1 << BITS, np.float32)
     weights[np.frombuffer(found[0]["cols"], "<i4")] = np.frombuffer(found[0]["weights"], "<f4")
-    return Model(weights, (found[0]["t0"], found[0]["t1"]))
+    return Model(weights, (found[0]["t0"], found[0]["t1"]), found[0]["keep_at"])
 
 
-def score(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT, text_col: str = "text", names: Sequence[str] = ("expected_grade", "p_usable", "p_clean", "keep")) -> DataFrame:
-    """Adds expected_grade, p_usable (grade >= 1), p_clean (grade >= 2) and keep to every row, in place of columns of these names."""
+def score(docs: DataFrame, model: Model | None, keep_at: float | None = None, text_col: str = "text", names: Sequence[str] = ("expected_grade", "p_usable", "p_clean", "keep")) -> DataFrame:
+    """Adds expected_grade, p_usable (grade >= 1), p_clean (grade >= 2) and keep to every row, in place of columns of these names; ``keep_at`` in place of the model's cut-off."""
     added = list(names)
     docs = docs.drop(*added)
     if model is None:
         return docs.withColumns({c: F.lit(None).cast("double") for c in added[:3]}).withColumn(added[3], F.lit(True))
+    bar = model.keep_at if keep_at is None else keep_at
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the input
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in added[:3]), T.StructField(added[3], T.BooleanType())])
@@ -221,12 +267,12 @@ def score(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT, text_c
                 part = batch.slice(k, 512)
                 texts = [(x or "").encode("utf-8", "surrogatepass") for x in part.column(at).to_pylist()]
                 usable, clean = m.tails(m.scores(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(usable + clean), pa.array(usable), pa.array(clean), pa.array(clean >= keep_at)], [*part.schema.names, *added])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(usable + clean), pa.array(usable), pa.array(clean), pa.array(clean >= bar)], [*part.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
 
 
-def keep_good(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT, text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, model: Model | None, keep_at: float | None = None, text_col: str = "text") -> DataFrame:
     """The rows that the model keeps, with their own columns only."""
     names = unused(docs, "_grade", "_usable", "_clean", "_keep")
     return score(docs, model, keep_at, text_col, names).filter(F.col(names[3])).select(*docs.columns)

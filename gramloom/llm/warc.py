@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ._common import Store, lookup_join, table
 
-ARCHIVE_BYTES, ARCHIVE_RECORDS, PIECE = 8_000_000, 2000, 1 << 16
+ARCHIVE_BYTES, ARCHIVE_RECORDS, PIECE = 8_000_000, 2000, 1 << 14
 DATE, IP = "20240101000000", "0.0.0.0"
 #: The field names of the two versions of ARC header lines.
 FIELDS = {

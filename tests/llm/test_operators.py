@@ -752,3 +752,52 @@ def test_reading_members_is_linear():
 
     few, many = min(took(500) for _ in range(3)), min(took(4000) for _ in range(2))
     assert many < 24 * few + 0.05
+
+
+def test_likelihood_and_its_derivatives():
+    r = np.random.default_rng(17)
+    s, grades, t0, t1 = r.normal(0, 2, 40), r.integers(0, 3, 40), -1.3, 0.7
+    above = lambda t, x: 1 / (1 + math.exp(t - x))
+    chance = lambda g, x: (1 - above(t0, x), above(t0, x) - above(t1, x), above(t1, x))[g]
+    value, by0, by1 = quality.likelihood(s, grades, t0, t1)
+    assert value == pytest.approx(-np.mean([math.log(chance(g, x)) for g, x in zip(grades, s)]))
+    e = 1e-6
+    at = lambda s_, a, b: quality.likelihood(s_, grades, a, b)[0]
+    assert -by0.sum() == pytest.approx((at(s, t0 + e, t1) - at(s, t0 - e, t1)) / (2 * e), abs=1e-6)
+    assert -by1.sum() == pytest.approx((at(s, t0, t1 + e) - at(s, t0, t1 - e)) / (2 * e), abs=1e-6)
+    for i in range(0, 40, 7):
+        step = np.eye(40)[i] * e
+        assert (by0 + by1)[i] == pytest.approx((at(s + step, t0, t1) - at(s - step, t0, t1)) / (2 * e), abs=1e-6)
+
+
+def test_cut_off_is_the_best_of_all():
+    r = np.random.default_rng(18)
+    for _ in range(60):
+        n = int(r.integers(1, 12))
+        clean, grades = r.integers(1, 6, n) / 6, r.integers(0, 3, n)
+        good = grades == 2
+        bar = quality.cut_off(clean, grades)
+        if good.any() and not good.all():
+            gain = lambda b: (clean[good] >= b).mean() - (clean[~good] >= b).mean()  # noqa: B023, E731
+            assert gain(bar) == pytest.approx(max(gain(b) for b in [*clean, 2.0])) or gain(bar) >= max(gain(b) for b in clean) - 1e-12
+        else:
+            assert bar == 0.5
+    assert quality.cut_off(np.empty(0), np.empty(0, np.int64)) == 0.5
+
+
+def test_fit_minimises_its_loss():
+    """On a small table, no small change of a weight or a threshold lowers the penalised likelihood by more than the fit's tolerance."""
+    r = np.random.default_rng(19)
+    x, grades = r.normal(size=(300, 4)).astype(np.float32), r.integers(0, 3, 300)
+    grades = np.where(r.random(300) < 0.7, np.clip((x[:, 0] * 1.5 + 1).round(), 0, 2).astype(int), grades)
+    block = (np.tile(np.arange(4, dtype=np.int32), 300), x.ravel(), np.arange(301) * 4)
+    m = quality.fit(grades, [block], steps=400, penalty=1e-3)
+
+    def loss(w, t0, t1):
+        return quality.likelihood(x @ w, grades, t0, t1)[0] + 1e-3 / 2 * w @ w + quality.GAP[0] / 2 * (math.log(t1 - t0) - math.log(quality.GAP[1])) ** 2
+
+    w, (t0, t1) = m.weights[:4].astype(float), m.thresholds
+    best = loss(w, t0, t1)
+    for e in (0.05, -0.05):
+        assert all(loss(w + e * np.eye(4)[k], t0, t1) > best - 1e-6 for k in range(4))
+        assert loss(w, t0 + e, t1) > best - 1e-6 and loss(w, t0, t1 + e) > best - 1e-6
