@@ -89,13 +89,14 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight:
     """Inner join of ``left`` with ``right``, which has each key once and in ``weight`` the key's number of left rows.
 
     ``total`` is the number of rows on the left. Keys with at least total/HEAVY rows, of which there
-    are at most HEAVY, come by broadcast, so that none of their rows is shuffled; no key of the rest
-    holds more than total/HEAVY rows, so its shuffle has no hot partition.
+    are at most HEAVY, come by broadcast, and their rows are taken out before the rest is shuffled; no key of
+    the rest holds more than total/HEAVY rows, so its shuffle has no hot partition.
     """
     bar = max(total // HEAVY, 64)
     heavy = right.filter(F.col(weight) >= bar)
     light = right.filter(F.col(weight) < bar)
-    return left.join(F.broadcast(heavy), list(keys)).unionByName(left.join(light, list(keys)))
+    rest = left.join(F.broadcast(heavy.select(*keys)), list(keys), "left_anti")
+    return left.join(F.broadcast(heavy), list(keys)).unionByName(rest.join(light, list(keys)))
 
 
 #: Bits of a filter over keys, whatever the input: 512 KB. A fuller filter lets more rows pass, never fewer.

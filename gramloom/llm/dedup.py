@@ -227,6 +227,8 @@ def _block_links(lists: DataFrame, total: int, classes: DataFrame, texts: DataFr
     rows = store.keep(rows, "arena-rows")
     part = lambda c, w: F.greatest(F.ceil(F.sum(c) / BLOCK), F.ceil(F.sum(c * w) * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
     size = rows.groupBy("arena").agg(part(F.col("out"), F.col("n")).alias("q_out"), part(F.lit(1), F.col("n")).alias("q_all"), F.count("*").alias("size"))
+    size = store.keep(size, "arenas")
+    blocks = size.agg(F.sum(F.col("q_out").cast("long") * F.col("q_all"))).first()[0] or 0
     rows = lookup_join(rows, size, ["arena"], "size", rows.count())
     place = lambda q, salt: F.pmod(F.xxhash64("uid", F.lit(salt)), q).cast("int")
     to = lambda q: F.sequence(F.lit(0), q - 1)
@@ -258,7 +260,9 @@ def _block_links(lists: DataFrame, total: int, classes: DataFrame, texts: DataFr
         return pd.DataFrame(out, columns=["x", "y"]).astype("int64")
 
     work = outside.select(names).unionByName(inside.select(names)).join(classes.select("uid", "sig"), "uid").join(texts, "uid")
-    return store.keep(work.groupBy("arena", "i", "j").applyInPandas(compare, "x long, y long"), "arena-links")
+    # dealt by an explicit number of tasks: a block has few bytes and much work
+    tasks = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // 4)
+    return store.keep(work.repartition(tasks, "arena", "i", "j").groupBy("arena", "i", "j").applyInPandas(compare, "x long, y long"), "arena-links")
 
 
 def near_duplicates(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH) -> DataFrame:
