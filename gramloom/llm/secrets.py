@@ -13,7 +13,7 @@ touches base spans.
 All is row by row in JVM expressions: nothing is shuffled, no source or group of copies can be hot, and
 a lost executor costs its rows only. Defined results: null text is empty text and has no spans; repeated
 rows give repeated results; an empty table an empty one; extra columns are kept, but columns named like
-the result are replaced. Positions are code points, ends exclusive.
+the result (``names``) are replaced. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ BASE = (
     ("access", r"(AKIA[A-Z0-9]+)", 20),
     ("hex", r"((?<![0-9a-f])[0-9a-f]{24,})", 24),
 )
-WINDOW = 20
+#: A candidate's window; matches that are gathered at a time.
+WINDOW, SPANS = 20, 128
 #: Bits a symbol from which a window of a class is flagged; 20 symbols have 4.32 at most.
 THRESHOLDS = {"entropy_hex": 3.0, "entropy_base64": 4.0}
 #: Suppressed candidates: plain words and paths without digits, runs of one symbol, ordered alphabets, placeholders.
@@ -48,14 +49,21 @@ SPAN = "struct<start:int,rank:int,kind:string,end:int>"
 def _spans(text: Column, found: Column, keep, make) -> Column:
     """Spans of a pattern's matches from the texts between them: ``found`` has the matches, ``keep`` the pattern."""
     gaps = F.split(text, keep, -1)
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    begin = lambda pos: F.struct(pos.alias("pos"), _none().alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["gap"])
         return F.struct((start + F.length(x["m"]["all"])).alias("pos"), F.concat(acc["out"], make(start, x["m"])).alias("out"))
 
+    def block(acc: Column, own: Column) -> Column:
+        # an array grows by copying, so the matches of a block are gathered apart
+        done = F.transform(F.array(F.aggregate(own, begin(acc["pos"]), step)), lambda b: F.struct(b["pos"].alias("pos"), F.concat(acc["out"], b["out"]).alias("out")))
+        return done[0]
+
     pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, init, step, lambda a: a["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    blocks = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / SPANS).cast("int")), lambda b: F.slice(p, b * SPANS + 1, SPANS))
+    placed = F.transform(F.array(pairs), lambda p: F.aggregate(blocks(p), begin(F.lit(0)), block, lambda a: a["out"]))[0]
+    return F.when(F.size(found) > 0, placed).otherwise(_none())
 
 
 def _span(start: Column, rank: int, kind: Column, end: Column) -> Column:
@@ -98,8 +106,9 @@ def window_flags(candidate: Column, window: int, threshold: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), full, step, lambda a: a["out"])
 
 
-def find_secrets(df: DataFrame, text_col: str = "text", window: int = WINDOW, thresholds: dict[str, float] | None = None, allow: Sequence[str] = ALLOW) -> DataFrame:
-    """Adds ``base_spans`` and ``spans``: arrays of (start, rank, kind, end) by start, then kind as listed."""
+def find_secrets(df: DataFrame, text_col: str = "text", window: int = WINDOW, thresholds: dict[str, float] | None = None, allow: Sequence[str] = ALLOW, names: Sequence[str] = ("base_spans", "spans")) -> DataFrame:
+    """Adds ``base_spans`` and ``spans`` (or ``names``): arrays of (start, rank, kind, end) by start, then kind as listed."""
+    base_, all_ = names
     limits = THRESHOLDS | (thresholds or {})
     t, found_, added, *matches = unused(df, "_text", "_found", "_added", *(f"_m{i}" for i in range(len(BASE))))
     out, text, parts = df.withColumn(t, utf8(F.col(text_col))), F.col(t), []
@@ -113,9 +122,9 @@ def find_secrets(df: DataFrame, text_col: str = "text", window: int = WINDOW, th
     out = out.withColumn(found_, F.when(text.rlike(run), strings).otherwise(F.array().cast(f"array<struct<all:string,group:array<{SPAN}>>>")))
     shifted = lambda start, m: F.transform(m["group"], lambda s: _span(start + s["start"], 8, s["kind"], start + s["end"]))
     out = out.withColumn(added, _spans(text, F.col(found_), run, shifted))
-    out = out.withColumn("base_spans", F.array_sort(F.concat(*parts)))
-    inside = lambda s: F.exists(F.col("base_spans"), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    out = out.withColumn("spans", F.array_sort(F.concat(F.col("base_spans"), F.filter(F.col(added), lambda s: ~inside(s)))))
+    out = out.withColumn(base_, F.array_sort(F.concat(*parts)))
+    inside = lambda s: F.exists(F.col(base_), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    out = out.withColumn(all_, F.array_sort(F.concat(F.col(base_), F.filter(F.col(added), lambda s: ~inside(s)))))
     return out.drop(t, found_, added, *matches)
 
 
@@ -135,8 +144,8 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``text_col`` with each secret replaced by ``mark``; overlapping spans give one mark. Needs ``spans``."""
+def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]", spans: str = "spans") -> DataFrame:
+    """``text_col`` with each secret of the column ``spans`` replaced by ``mark``; overlapping spans give one mark."""
     text = F.col(text_col)
     init = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
@@ -145,8 +154,8 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> Dat
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] >= acc["pos"], fresh).otherwise(acc["out"]).alias("out"))
 
     # length + 1 is past the end, so the substring after the last span may be empty
-    clean = F.aggregate(F.col("spans"), init, step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))))
-    return df.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text))
+    clean = F.aggregate(F.col(spans), init, step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))))
+    return df.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

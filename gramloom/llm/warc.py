@@ -343,4 +343,4 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     repeats = store.keep(revisits(store.keep(arc_index(arcs), "index")), "revisits")
     warcs = store.keep(to_warc(arcs, repeats), "warc", codec="none")
     store.only("warc")
-    return read_warc(warcs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_id", "url")
+    return read_warc(warcs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

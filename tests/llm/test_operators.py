@@ -801,3 +801,49 @@ def test_fit_minimises_its_loss():
     for e in (0.05, -0.05):
         assert all(loss(w + e * np.eye(4)[k], t0, t1) > best - 1e-6 for k in range(4))
         assert loss(w, t0 + e, t1) > best - 1e-6 and loss(w, t0, t1 + e) > best - 1e-6
+
+
+def test_secrets_of_many_matches_and_long_texts(spark):
+    """More matches than are gathered at a time, texts of over 1 MB, an empty table, and columns named like the result."""
+    r = random.Random(31)
+    some = [" ".join(r.choice(["token=abcdef123", "AKIA" + "B" * 16, "deadbeef" * 3, "é", "password:x"]) for _ in range(n)) for n in (1, 127, 128, 129, 700)]
+    some += ["word é " * 180_000 + "secret=abcdefgh", "z" * 1_200_000]
+    df = clashing(spark.createDataFrame([*enumerate(some)], "doc_id long, text string")).withColumns({"spans": F.lit("mine"), "base_spans": F.lit("own")})
+    got = secrets.find_secrets(df, names=("b", "a"))
+    rows = got.select("doc_id", "spans", "base_spans", secrets.spans_text(F.col("b")).alias("s")).collect()
+    assert {x.doc_id: x.s for x in rows} == {i: brute.base_spans(t) for i, t in enumerate(some)}
+    assert {(x.spans, x.base_spans) for x in rows} == {("mine", "own")}
+    clean = {x.doc_id: x.text for x in secrets.redact(got, spans="a").collect()}
+    assert clean[5] == "word é " * 180_000 + "[secret]" and clean[6] == some[6]
+    assert secrets.find_secrets(df.limit(0)).count() == 0
+
+
+def test_empty_tables_repeated_ids_and_long_texts(spark, store):
+    """op1 and op2 on the same odd tables: no rows, rows with one id, texts of over 1 MB."""
+    long = "some words, é " * 100_000
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "d"), (None, None), (2, long), (3, "x" * 1_100_000)]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = brute.counted((r.doc_id, r.n_bytes) for r in media.media_features(store.keep(media.with_media(df), "wav")).collect())
+    assert got == brute.counted((i, len((t or "").encode())) for i, t in rows)
+    pieces = packing.pack(df, store).collect()
+    assert sum(p.start == 0 for p in pieces) == len(rows) and sum(p.length for p in pieces if p.doc_id == 1) == 3 + 3 + 2
+    assert sum(p.length for p in pieces if p.doc_id == 2) == next(p.doc_tokens for p in pieces if p.doc_id == 2)
+    assert media.media_features(media.with_media(df.limit(0))).count() == 0 and packing.pack(df.limit(0), Store(spark, "none")).count() == 0
+
+
+def test_texts_of_a_megabyte(spark):
+    """op5, op6, op7, op8, op9 and op10 with texts of over 1 MB among short ones."""
+    long = " ".join(f"word{i}" for i in range(120_000))
+    rows = [(1, long, "a"), (2, long + " more", "a"), (3, "x" * 1_100_000, "b"), (4, "short one", "b"), (5, long[600_000:], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    near = {r.doc_id: r.component_id for r in dedup.near_duplicates(df, Store(spark, "long")).collect()}
+    assert near == {i: c for i, (_, c) in brute.components([r[:2] for r in rows]).items()} and near[2] == 1
+    cut = {r.doc_id: (r.n_bytes, r.n_removed) for r in repeats.repeated_passages(df, Store(spark, "long")).collect()}
+    assert cut[1] == (len(long), 0) and cut[2] == (len(long) + 5, len(long)) and cut[4] == (9, 0) and cut[5][1] == cut[5][0]
+    taken = {r.doc_id: sum(p.length for p in r.parts) for r in mixing.taken_blocks(mixing.sizes_of(df), Store(spark, "long")).collect()}
+    assert all(taken[i] <= 2 * len(brute.words(t)) for i, t, _ in rows)
+    pages = df.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"))
+    arcs = warc.write_arc(pages)
+    assert {r.page_id: r.payload_bytes for r in warc.arc_index(arcs).collect()} == {i: len(t) for i, t, _ in rows}
+    model = quality.Model(np.zeros(1 << quality.BITS, np.float32), (-1.0, 1.0))
+    assert quality.score(df, model).count() == 5
