@@ -83,8 +83,33 @@ def emd_1d(xs: Column, ys: Column) -> Column:
 
 
 def gram_similarity(xs: Column, ys: Column) -> Column:
-    """What a shared gram adds to the similarity: the number of both positions less their cost."""
-    return F.size(xs) + F.size(ys) - emd_1d(xs, ys)
+    """What a shared gram adds to the similarity: the number of both positions, which lie in [0, 1], less their cost.
+
+    Most grams stand once in a word; their cost is a difference, without sorting or a table.
+    """
+    single = (F.size(xs) == 1) & (F.size(ys) == 1)
+    return F.when(single, F.lit(2.0) - F.abs(F.get(xs, 0) - F.get(ys, 0))).otherwise(F.size(xs) + F.size(ys) - emd_1d(xs, ys))
+
+
+def profile(word: Column, n: int, pad: bool | None = None) -> Column:
+    """Array of (gram, first, pos) of the distinct n-grams of a word, by their first places."""
+    one = lambda all_: F.transform(F.array_distinct(all_), lambda g: F.struct(g.alias("gram"), F.array_position(all_, g).alias("first"), positions(all_, g).alias("pos")))
+    return let(grams(word, n, pad), one)
+
+
+def gram_map(profile_: Column) -> Column:
+    """The positions of a profile's grams by gram."""
+    return F.map_from_entries(F.transform(profile_, lambda g: F.struct(g["gram"], g["pos"])))
+
+
+def shared_grams(profile_: Column, other: Column) -> Column:
+    """Array of (first, x, y): the grams of a profile that another word's ``gram_map`` has too, in the profile's order."""
+    found = F.transform(profile_, lambda g: F.struct(g["first"].alias("first"), g["pos"].alias("x"), F.try_element_at(other, g["gram"]).alias("y")))
+    return F.filter(found, lambda g: g["y"].isNotNull())
+
+
+def shared_similarity(shared: Column) -> Column:
+    return F.aggregate(shared, F.lit(0.0), lambda s, g: s + gram_similarity(g["x"], g["y"]))
 
 
 def gram_movers_distance(left: Column, right: Column, n: int = 2, invert: bool = False, normalize: bool = False) -> Column:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import gram_similarity, grams, gram_movers_distance, num_grams, positions
+from ..functions.columns import gram_map, gram_movers_distance, gram_similarity, grams, num_grams, profile, shared_grams, shared_similarity
+from ..plans.settle import spread, unused
 
 
 def gram_table(words: DataFrame, word: str = "word", n: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
     """(word, *keep, gram, pos): a row for each distinct gram of each row's word, with its sorted positions."""
-    with_grams = words.withColumn("_g", grams(F.col(word), n))
-    each = F.transform(F.array_distinct("_g"), lambda g: F.struct(g.alias("gram"), positions(F.col("_g"), g).alias("pos")))
-    return with_grams.select(word, *keep, F.explode(each).alias("_e")).select(word, *keep, "_e.gram", "_e.pos")
+    (each,) = unused(words, "_each")
+    return words.select(word, *keep, F.explode(profile(F.col(word), n)).alias(each)).select(word, *keep, F.col(f"{each}.gram"), F.col(f"{each}.pos"))
 
 
 def pair_scores(pairs: DataFrame, left: str, right: str, n: int = 2) -> DataFrame:
@@ -22,7 +22,11 @@ def pair_scores(pairs: DataFrame, left: str, right: str, n: int = 2) -> DataFram
 
 
 def shared_gram_similarity(left: DataFrame, right: DataFrame, n: int = 2, word: str = "word") -> DataFrame:
-    """(left, right, similarity) of all pairs of distinct words that share a gram: a join on grams and a sum."""
+    """(left, right, similarity) of all pairs of distinct words that share a gram: a join on grams and a sum.
+
+    All pairs are the result, so it grows with the square of a gram's words; see ``fuzzy_self_join`` for pairs above
+    a threshold, which needs no such join.
+    """
     a = gram_table(left.select(word).distinct(), word, n).select(F.col(word).alias("left"), "gram", F.col("pos").alias("x"))
     b = gram_table(right.select(word).distinct(), word, n).select(F.col(word).alias("right"), "gram", F.col("pos").alias("y"))
     return a.join(b, "gram").groupBy("left", "right").agg(F.sum(gram_similarity(F.col("x"), F.col("y"))).alias("similarity"))
@@ -52,8 +56,10 @@ def fuzzy_self_join(words: DataFrame, min_similarity: float, n: int = 2, word: s
     tokens = mine.select("w", "n_grams", F.explode(first).alias("t")).select("w", "n_grams", "t.gram", "t.k")
     a, b = (tokens.select(F.col("w").alias(c), F.col("n_grams").alias(f"n_{c}"), "gram", "k") for c in ("left", "right"))
     near = (F.least("n_left", "n_right") >= F.greatest("n_left", "n_right") * ratio - 1e-9) & (F.col("left") < F.col("right"))
-    pairs = a.join(b, ["gram", "k"]).filter(near).select("left", "right").distinct()
-    score = gram_movers_distance(F.col("left"), F.col("right"), n, invert=True, normalize=True)
-    return pairs.withColumn("similarity", score).filter(F.col("similarity") >= min_similarity - 1e-12)
-
-
+    pairs = spread(a.join(b, ["gram", "k"]).filter(near).select("left", "right", "n_left", "n_right").distinct(), "left")
+    # a word's grams and positions are made once, not for each pair
+    known = names.select("w", profile(F.col("w"), n).alias("p"))
+    pairs = pairs.join(known.select(F.col("w").alias("left"), "p"), "left").join(known.select(F.col("w").alias("right"), gram_map(F.col("p")).alias("m")), "right")
+    score = shared_similarity(shared_grams(F.col("p"), F.col("m"))) / (F.col("n_left") + F.col("n_right"))
+    # exploded, so that the filter isn't pushed below and the score computed twice
+    return pairs.select("left", "right", F.explode(F.filter(F.array(score), lambda x: x >= min_similarity - 1e-9)).alias("similarity"))

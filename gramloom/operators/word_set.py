@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import gram_similarity, grams, sizes
+from ..functions.columns import gram_map, grams, profile, shared_grams, shared_similarity, sizes
 from ..functions.text import casefold, normalize_nfc
-from ..plans.settle import numbered, settled
-from .lookup import _postings
+from ..plans.settle import numbered, settled, spread, unused
 
 
 class WordSet:
@@ -30,7 +29,7 @@ class WordSet:
         #: The size of the grams of which a candidate must share one; None if every word is a candidate.
         self.filter_n = 3 if 3 in self.ngram_sizes else self.ngram_sizes[0] if self.ngram_sizes[0] <= 4 else None
         self.members = _members if _members is not None else settled(self._numbered(self._normal(words, word), 0))
-        self._grams: DataFrame | None = None
+        self._filters: DataFrame | None = None
 
     def _normal(self, words: DataFrame, word: str = "word") -> DataFrame:
         """(norm, original), each normal form once; empty words and words with a NUL raise an error."""
@@ -103,8 +102,9 @@ class WordSet:
         norm = F.col(word) if self.case_sensitive else casefold(F.col(word))
         if self.unicode_normalizer is not None:
             norm = self.unicode_normalizer(norm)
-        known = self.members.select(F.col("norm").alias("_n"), F.lit(True).alias("_f"))
-        return words.withColumn("_n", norm).join(known, "_n", "left").withColumn("found", F.coalesce("_f", F.lit(False))).drop("_n", "_f")
+        key, hit = unused(words, "_key", "_hit")
+        known = self.members.select(F.col("norm").alias(key), F.lit(True).alias(hit))
+        return words.withColumn(key, norm).join(known, key, "left").withColumn("found", F.coalesce(hit, F.lit(False))).drop(key, hit)
 
     def size(self) -> int:
         return self.members.count()
@@ -130,24 +130,31 @@ class WordSet:
         if min_similarity is not None and not 0 <= min_similarity <= 1:
             raise ValueError("min_similarity must be between 0 and 1")
         n_list = self.ngram_sizes
-        if self._grams is None:
-            self._grams = settled(_postings(self.members.withColumn("word", F.col("norm")), n_list, "word_id", "norm", pad=True).select("n", "gram", "word_id", F.length("norm").alias("length"), "pos"))
         asked = queries.select(F.col(word).alias("query")).filter("query <> ''").distinct()
         norm = F.col("query") if self.case_sensitive else casefold(F.col("query"))
         if self.unicode_normalizer is not None:
             norm = self.unicode_normalizer(norm)
         asked = asked.withColumn("word", norm).filter("word <> ''")
-        q = _postings(asked, n_list, "query", "word", pad=True).select("query", "n", "gram", F.col("pos").alias("x"), F.length("word").alias("q_length"))
-        hits = q.join(self._grams.withColumnRenamed("pos", "y"), ["n", "gram"])
         count = lambda length: sum((F.greatest(length + 3 - n, F.lit(0)) for n in n_list), F.lit(0))
-        ok = F.max((F.col("n") == self.filter_n).cast("int")) if self.filter_n else F.lit(1)
-        scored = hits.groupBy("query", "q_length", "word_id", "length").agg(F.sum(gram_similarity(F.col("x"), F.col("y"))).alias("s"), ok.alias("ok")).filter("ok = 1")
+        # candidates share a gram of the filter's size, or else any gram; the grams of a word are made once, not for each pair
+        met = (self.filter_n,) if self.filter_n else n_list
+        one = lambda w, n: F.transform(F.array_distinct(grams(F.col(w), n, True)), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+        each = lambda w: F.explode(F.concat(*(one(w, n) for n in met))).alias("g")
+        if self._filters is None:
+            self._filters = settled(self.members.select("word_id", each("norm")))
+        pairs = spread(asked.select("query", each("word")).join(self._filters, "g").select("query", "word_id").distinct(), "word_id")
+        maps = self.members.select("word_id", F.length("norm").alias("length"), *(gram_map(profile(F.col("norm"), n, True)).alias(f"m{n}") for n in n_list))
+        mine = asked.select("query", F.length("word").alias("q_length"), *(profile(F.col("word"), n, True).alias(f"p{n}") for n in n_list))
+        pairs = pairs.join(maps, "word_id").join(mine, "query")
+        same = sum((shared_similarity(shared_grams(F.col(f"p{n}"), F.col(f"m{n}"))) for n in n_list), F.lit(0.0))
+        # exploded, so that filters aren't pushed below and the sum computed again
+        scored = pairs.select("query", "q_length", "word_id", "length", F.explode(F.array(same)).alias("s"))
         if not self.filter_n:
             # without a filter every word counts, with a similarity of 0 if it shares nothing
             shared = scored.select("query", "word_id")
             rest = asked.select("query", F.length("word").alias("q_length"))
             few = self.members.orderBy("word_id").limit(k)  # no more of them can be among the first k
-            scored = scored.unionByName(rest.join(F.broadcast(few.select("word_id", F.length("norm").alias("length"))), F.lit(True)).join(shared, ["query", "word_id"], "left_anti").withColumns({"s": F.lit(0.0), "ok": F.lit(1)}))
+            scored = scored.unionByName(rest.join(F.broadcast(few.select("word_id", F.length("norm").alias("length"))), F.lit(True)).join(shared, ["query", "word_id"], "left_anti").withColumn("s", F.lit(0.0)))
         scored = scored.withColumn("total", count(F.col("q_length")) + count(F.col("length"))).filter("total > 0")
         scored = scored.withColumn("similarity", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s") / F.col("total"))), 9))
         if min_similarity is not None:
@@ -159,7 +166,3 @@ class WordSet:
         """(query, rank, word) of ``find_similar``."""
         return self.find_similar(queries, word, k).select("query", "rank", "word")
 
-
-def all_grams(words: DataFrame, n: int, word: str = "word") -> DataFrame:
-    """(word, i, gram): the padded grams of each distinct word in order."""
-    return words.select(F.col(word).alias("word")).distinct().select("word", F.posexplode(grams(F.col("word"), n)).alias("i", "gram"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -30,6 +30,11 @@ NAMES, TYPOS = "SELECT DISTINCT p_name AS word FROM part WHERE p_name IS NOT NUL
 BENCH_WORDS = f"SELECT DISTINCT unnest(regexp_extract_all(text, '{TOKEN}')) AS word FROM benchmark"
 
 
+def _round(value: Column | str) -> Column:
+    """To 6 places, by way of 9: sums whose terms come in another order agree in these, so that ties round alike."""
+    return F.round(F.round(value, 9), 6)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
@@ -89,35 +94,35 @@ _TOTAL = "(len(a.word) + len(b.word) + 2)"
 @query(
     "pair_scores",
     f"""WITH a AS ({NAMES}), b AS (SELECT DISTINCT lower(p_type) AS word FROM part), s AS ({S.pair_similarity("a", "b")})
-    SELECT a.word AS name, b.word AS type, round(coalesce(sim, 0), 6) AS similarity, round({_TOTAL} - coalesce(sim, 0), 6) AS distance,
-      round(coalesce(sim, 0) / {_TOTAL}, 6) AS similarity_norm, round(1 - coalesce(sim, 0) / {_TOTAL}, 6) AS distance_norm
+    SELECT a.word AS name, b.word AS type, round(coalesce(sim, 0), 6) AS similarity, round(round({_TOTAL} - coalesce(sim, 0), 9), 6) AS distance,
+      round(round(coalesce(sim, 0) / {_TOTAL}, 9), 6) AS similarity_norm, round(round(1 - coalesce(sim, 0) / {_TOTAL}, 9), 6) AS distance_norm
     FROM (SELECT DISTINCT p_name, lower(p_type) AS t FROM part) p JOIN a ON a.word = p_name JOIN b ON b.word = t LEFT JOIN s ON s.l = a.word AND s.r = b.word""",
 )
 def pair_scores_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _t(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.lower("p_type").alias("type")).distinct()
     scored = pair_scores(pairs, "name", "type")
-    return scored.select("name", "type", *(F.round(c, 6).alias(c) for c in ("similarity", "distance", "similarity_norm", "distance_norm")))
+    return scored.select("name", "type", *(_round(c).alias(c) for c in ("similarity", "distance", "similarity_norm", "distance_norm")))
 
 
 @query("shared_gram_similarity", f"WITH a AS ({NAMES}) SELECT l AS \"left\", r AS \"right\", round(sim, 6) AS similarity FROM ({S.pair_similarity('a', 'a')})")
 def shared_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _names(spark, sf_dir)
-    return shared_gram_similarity(names, names).select("left", "right", F.round("similarity", 6).alias("similarity"))
+    return shared_gram_similarity(names, names).select("left", "right", _round("similarity").alias("similarity"))
 
 
 def _self_join_sql(source: str, least: float) -> str:
-    return f"""WITH a AS ({source}) SELECT l AS "left", r AS "right", round(sim / (len(l) + len(r) + 2), 6) AS similarity
-      FROM ({S.pair_similarity("a", "a")}) WHERE l < r AND sim / (len(l) + len(r) + 2) >= {least} - 1e-12"""
+    return f"""WITH a AS ({source}) SELECT l AS "left", r AS "right", round(round(sim / (len(l) + len(r) + 2), 9), 6) AS similarity
+      FROM ({S.pair_similarity("a", "a")}) WHERE l < r AND sim / (len(l) + len(r) + 2) >= {least} - 1e-9"""
 
 
 @query("fuzzy_self_join", _self_join_sql(NAMES, 0.5))
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_self_join(_names(spark, sf_dir), 0.5).withColumn("similarity", F.round("similarity", 6))
+    return fuzzy_self_join(_names(spark, sf_dir), 0.5).withColumn("similarity", _round("similarity"))
 
 
 @query("fuzzy_self_join_words", _self_join_sql(BENCH_WORDS, 0.7))
 def fuzzy_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_self_join(_bench_words(spark, sf_dir), 0.7).withColumn("similarity", F.round("similarity", 6))
+    return fuzzy_self_join(_bench_words(spark, sf_dir), 0.7).withColumn("similarity", _round("similarity"))
 
 
 _POWERS = "pow((pow(l_discount, {d}) + pow(l_tax, {d})) / 2, 1.0 / {d})"
@@ -247,14 +252,14 @@ def set_discard(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH p AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS a1, split_part(p_name, ' ', 2) AS a2, lower(p_type) AS b FROM part),
     w AS (SELECT DISTINCT unnest([a1, a2]) AS word FROM p), t AS (SELECT DISTINCT b AS word FROM p), s AS ({S.pair_similarity("w", "t")}),
     d AS (SELECT w.word AS l, t.word AS r, 1 - coalesce(sim, 0) / (len(w.word) + len(t.word) + 2) AS d FROM p x JOIN w ON w.word IN (x.a1, x.a2) JOIN t ON t.word = x.b LEFT JOIN s ON s.l = w.word AND s.r = t.word GROUP BY ALL)
-    SELECT a1 || ' ' || a2 AS name, b AS type, round(1 + least(x.d, y.d), 6) AS distance, round((1 + least(x.d, y.d)) / 2, 6) AS distance_norm,
-      round(1 - least(x.d, y.d), 6) AS similarity, round((1 - least(x.d, y.d)) / 2, 6) AS similarity_norm
+    SELECT a1 || ' ' || a2 AS name, b AS type, round(round(1 + least(x.d, y.d), 9), 6) AS distance, round(round((1 + least(x.d, y.d)) / 2, 9), 6) AS distance_norm,
+      round(round(1 - least(x.d, y.d), 9), 6) AS similarity, round(round((1 - least(x.d, y.d)) / 2, 9), 6) AS similarity_norm
     FROM p JOIN d x ON x.l = a1 AND x.r = b JOIN d y ON y.l = a2 AND y.r = b""",
 )
 def bow_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _t(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.lower("p_type").alias("type")).distinct()
     a, b = F.split("name", " "), F.array("type")
-    score = lambda i, n: F.round(P.bow_distance_udf(a, b, invert=i, normalize=n), 6)
+    score = lambda i, n: _round(P.bow_distance_udf(a, b, invert=i, normalize=n))
     return pairs.select("name", "type", score(False, False).alias("distance"), score(False, True).alias("distance_norm"), score(True, False).alias("similarity"), score(True, True).alias("similarity_norm"))
 
 

@@ -1,4 +1,7 @@
-"""DuckDB SQL for what the queries compute, built from a few pieces."""
+"""DuckDB SQL for what the queries compute, built from a few pieces.
+
+Sums of doubles are rounded to 9 places where they are made: DuckDB adds in the order in which its threads finish.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +22,7 @@ def gram_rows(source: str, n: int, keep: str = "word", word: str = "word", pad:
 
 def pair_similarity(left: str, right: str, n: int = 2) -> str:
     """(l, r, sim) of all pairs of words that share a gram; both sources have one column, word."""
-    return f"""SELECT a.word AS l, b.word AS r, sum(len(a.pos) + len(b.pos) - {emd("a.pos", "b.pos")}) AS sim
+    return f"""SELECT a.word AS l, b.word AS r, round(sum(len(a.pos) + len(b.pos) - {emd("a.pos", "b.pos")}), 9) AS sim
       FROM ({gram_rows(left, n)}) a JOIN ({gram_rows(right, n)}) b ON a.gram = b.gram GROUP BY 1, 2"""
 
 
