@@ -24,7 +24,7 @@ APOSTROPHES = "'\u2019\uff07"
 QUOTES = "\"\uff02)\uff09>\uff1e]\uff3d}\uff5d\u201d"
 UNPRINTABLE = "".join(map(chr, [*range(0, 9), *range(14, 28), 127, 0xFFEF, 0xFFFD]))
 #: What str.strip() removes.
-STRIPPED = r"\t\n\x0b\x0c\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+STRIPPED = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def char_class(chars: str) -> str:
@@ -37,7 +37,11 @@ WORD = f"{WORD_CLASS}+"
 _APOSTROPHE = char_class(APOSTROPHES)
 #: Two words with one apostrophe between, where neither side goes on with another apostrophe.
 MERGED = f"(?<!{WORD_CLASS}|{_APOSTROPHE}){WORD}{_APOSTROPHE}{WORD}(?!{WORD_CLASS}|{_APOSTROPHE})"
-SENTENCE = rf"[\s\S]*?{char_class(CLOSING)}{char_class(QUOTES)}*{char_class(SPACES)}|[\s\S]+"
+#: Characters that most texts consist of, none of which ends a sentence; one look-up tells them.
+_PLAIN = "[" + "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123), *range(192, 256)])) + " ,'" + "]"
+_CLOSING, _QUOTES, _SPACES = map(char_class, (CLOSING, QUOTES, SPACES))
+#: Up to the first closing character that white space follows, in possessive steps that are never taken back; or all that is left.
+SENTENCE = rf"(?:{_PLAIN}++|[^{_CLOSING[1:]}|{_CLOSING}(?!{_QUOTES}*+{_SPACES}))*+{_CLOSING}{_QUOTES}*+{_SPACES}|[\s\S]+"
 
 
 def is_word_char(char: Column) -> Column:
@@ -95,7 +99,7 @@ def tokens(text: Column, words_only: bool = False, merge_apostrophe_word: bool =
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{STRIPPED}]+|[{STRIPPED}]+$", "")
+    return F.trim(text, F.lit(STRIPPED))
 
 
 def paragraphs(text: Column, split_newline: bool | str = True) -> Column:

@@ -39,7 +39,8 @@ def fuzzy_self_join(words: DataFrame, min_similarity: float, n: int = 2, word: s
     min_similarity * (N1 + N2) / 2 grams, and the lesser N is at least min_similarity / (2 - min_similarity)
     of the greater. With the grams of a word ordered by how many words have them, rare ones first, the pair
     then shares a gram among the first of either; only these are joined. Grams that most words have, such
-    as a first letter, are thus hardly ever read.
+    as a first letter, are thus hardly ever read. The first gram that a pair shares leaves it no more than the grams
+    after it in either order, so pairs that meet too far back are left out before they are scored.
     """
     if not 0 < min_similarity <= 1:
         raise ValueError("min_similarity must be over 0, and 1 at most")
@@ -53,9 +54,10 @@ def fuzzy_self_join(words: DataFrame, min_similarity: float, n: int = 2, word: s
     mine = each.join(freq, ["gram", "k"]).groupBy("w", "n_grams").agg(F.array_sort(F.collect_list(F.struct("freq", "gram", "k"))).alias("t"))
     # grams that no other word has come first in the order, but need no join
     first = F.slice("t", F.lit(1), F.greatest(F.lit(0), (F.size("t") - need + 1).cast("int")))
-    tokens = mine.select("w", "n_grams", F.explode(first).alias("t")).select("w", "n_grams", "t.gram", "t.k")
-    a, b = (tokens.select(F.col("w").alias(c), F.col("n_grams").alias(f"n_{c}"), "gram", "k") for c in ("left", "right"))
-    near = (F.least("n_left", "n_right") >= F.greatest("n_left", "n_right") * ratio - 1e-9) & (F.col("left") < F.col("right"))
+    tokens = mine.select("w", "n_grams", F.size("t").alias("rest"), F.posexplode(first).alias("i", "t")).select("w", "n_grams", (F.col("rest") - F.col("i")).alias("rest"), "t.gram", "t.k")
+    a, b = (tokens.select(F.col("w").alias(c), F.col("n_grams").alias(f"n_{c}"), F.col("rest").alias(f"rest_{c}"), "gram", "k") for c in ("left", "right"))
+    enough = F.least("rest_left", "rest_right") * 2 >= min_similarity * (F.col("n_left") + F.col("n_right")) - 1e-9
+    near = enough & (F.least("n_left", "n_right") >= F.greatest("n_left", "n_right") * ratio - 1e-9) & (F.col("left") < F.col("right"))
     pairs = spread(a.join(b, ["gram", "k"]).filter(near).select("left", "right", "n_left", "n_right").distinct(), "left")
     # a word's grams and positions are made once, not for each pair
     known = names.select("w", profile(F.col("w"), n).alias("p"))

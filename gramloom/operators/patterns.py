@@ -2,7 +2,9 @@
 
 A ``PatternSet`` is a value: changes give a new one. Its map goes to the executors by broadcast, behind a
 check of its size (``MAX_BYTES``); a larger dictionary has to be split by its keys' first characters.
-Text columns are searched in Arrow batches. Keys are sequences of characters or, with a tokenizer, of tokens.
+Up to ``MAX_REGEX_KEYS`` keys of characters are searched by a regular expression, in the JVM where only matches
+count; other text columns are searched in Arrow batches. Keys are sequences of characters or, with a tokenizer, of
+tokens. Without case, keys and texts are case-folded, and the places of matches are those of the folded text.
 """
 
 from __future__ import annotations
@@ -10,36 +12,66 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
-from typing import Any, NamedTuple
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import casefold
+
 MAX_BYTES, MAX_REGEX_KEYS = 256 << 20, 1000
 #: Quotes and primes that an ASCII quote may stand for, with that quote.
 FUZZY_QUOTES = {"‵": "'", "′": "'", "‘": "'", "’": "'", "`": "'", "´": "'", "”": '"', "“": '"', "〝": '"', "〞": '"'}
 
 
-class Match(NamedTuple):
-    """A key found at tokens start .. end - 1 (characters, without a tokenizer)."""
+class Match:
+    """A key found at tokens start .. end - 1 (characters, without a tokenizer); it answers like a match of a regular expression without groups."""
+
+    __slots__ = ("_span", "_text")
+
+    def __init__(self, start: int, end: int, match: str) -> None:
+        self._span, self._text = (start, end), match
+
+    def span(self, group: int = 0) -> tuple[int, int]:
+        if group:
+            raise IndexError("no such group")
+        return self._span
 
-    start: int
-    end: int
-    match: str
+    def start(self, group: int = 0) -> int:
+        return self.span(group)[0]
 
-    def span(self) -> tuple[int, int]:
-        return self.start, self.end
+    def end(self, group: int = 0) -> int:
+        return self.span(group)[1]
 
-    def group(self) -> str:
-        return self.match
+    def group(self, group: int = 0) -> str:
+        self.span(group)
+        return self._text
+
+    __getitem__ = group
+
+    @property
+    def str(self) -> str:
+        return self._text
 
     @property
     def regs(self) -> tuple[tuple[int, int]]:
-        return ((self.start, self.end),)
+        return (self._span,)
 
     def __len__(self) -> int:
-        return self.end - self.start
+        return self._span[1] - self._span[0]
+
+    def __str__(self) -> str:
+        return self._text
+
+    def __repr__(self) -> str:
+        return f"Match{(*self._span, self._text)}"
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Match) and (self._span, self._text) == (other._span, other._text)
+
+    def __hash__(self) -> int:
+        return hash((self._span, self._text))
 
 
 class _Automaton:
@@ -83,12 +115,15 @@ class PatternSet:
     def fromkeys(cls, keys: Iterable[str], default: str = "", case_sensitive: bool = True) -> PatternSet:
         return cls(((k, default) for k in keys), case_sensitive=case_sensitive)
 
+    from_keys = fromkeys
+
     @classmethod
     def from_table(cls, df: DataFrame, key: str = "key", replacement: str | None = "replacement", **options: Any) -> PatternSet:
         """From a table of bounded size; a key's last replacement in string order counts."""
-        size = df.agg(F.sum(F.octet_length(key)).alias("b")).first()["b"] or 0
+        amount = F.coalesce(F.octet_length(key), F.lit(0)) + (F.coalesce(F.octet_length(replacement), F.lit(0)) if replacement else F.lit(0))
+        size = df.agg(F.sum(amount.cast("long")).alias("b")).first()["b"] or 0
         if size > MAX_BYTES:
-            raise ValueError(f"the keys have {size} bytes; a broadcast dictionary may have {MAX_BYTES}")
+            raise ValueError(f"keys and replacements have {size} bytes; a broadcast dictionary may have {MAX_BYTES}")
         value = F.max(replacement) if replacement else F.lit("")
         return cls(((r[0], r[1]) for r in df.filter(F.col(key).isNotNull()).groupBy(key).agg(value.alias("v")).orderBy(key).toLocalIterator()), **options)
 
@@ -142,6 +177,13 @@ class PatternSet:
     def keys(self) -> list[str]:
         return sorted(self._map)
 
+    def sort_keys(self, ascending: bool = True, case_sensitive: bool = True) -> list[str]:
+        """The keys by their tokens, each after its own beginnings: by case-folded tokens, then by the tokens; or, not ``case_sensitive``, by the tokens as they are."""
+        tokens = {k: [*self._tokens(k)] for k in self._map}
+        order = sorted({t for own in tokens.values() for t in own}, key=lambda t: (t.casefold(), t) if case_sensitive else ("", t))
+        rank = {t: i if ascending else -i for i, t in enumerate(order)}
+        return sorted(self._map, key=lambda k: [rank[t] for t in tokens[k]])
+
     def values(self) -> list[str]:
         return [v for _, v in self.items()]
 
@@ -178,7 +220,7 @@ class PatternSet:
         tokens, machine = self._tokens(text), None if self._expression is not None and not allow_overlapping else self._automaton
         if allow_overlapping:
             found = [Match(i, e, k) for i in range(len(tokens)) for e, (k, _) in machine.from_(tokens, i)]
-            yield from sorted(found, key=lambda m: (m.end, m.start))
+            yield from sorted(found, key=lambda m: m.span()[::-1])
             return
         if self._expression is not None:
             yield from (Match(*m.span(), m.group()) for m in self._expression.finditer(tokens))
@@ -198,27 +240,27 @@ class PatternSet:
         return next(self.finditer(text), None)
 
     def findall(self, text: str, allow_overlapping: bool = False) -> list[str]:
-        return [m.match for m in self.finditer(text, allow_overlapping)]
+        return [m.str for m in self.finditer(text, allow_overlapping)]
 
     def findall_longest(self, text: str) -> list[str]:
         """Matches without overlaps of the greatest total length; of equal ones, those whose last match starts first."""
-        all_ = sorted(self.finditer(text, allow_overlapping=True), key=lambda m: (m.end, m.start))
+        all_ = self.finditer(text, allow_overlapping=True)
         # best choice up to each end where the total grows: ends, totals, last matches, and the choice before
         ends, totals, last, before = [0], [0], [None], [-1]
         for m in all_:
             k = len(ends) - 1
-            while ends[k] > m.start:
+            while ends[k] > m.start():
                 k -= 1
-            total = totals[k] + m.end - m.start
+            total = totals[k] + len(m)
             if total > totals[-1]:
-                if ends[-1] == m.end:
+                if ends[-1] == m.end():
                     for a in (ends, totals, last, before):
                         a.pop()
-                for a, v in zip((ends, totals, last, before), (m.end, total, m, k)):
+                for a, v in zip((ends, totals, last, before), (m.end(), total, m, k)):
                     a.append(v)
         out, k = [], len(ends) - 1
         while k > 0:
-            out.append(last[k].match)
+            out.append(last[k].str)
             k = before[k]
         return out[::-1]
 
@@ -227,8 +269,8 @@ class PatternSet:
         tokens = self._tokens(text)
         out, at = [], 0
         for m in self.finditer(text):
-            out += [*tokens[at : m.start], self._map[m.match]]
-            at = m.end
+            out += [*tokens[at : m.start()], self._map[m.str]]
+            at = m.end()
         return self.detokenizer([*out, *tokens[at:]])
 
     replace = translate
@@ -253,30 +295,46 @@ class PatternSet:
     def translate_column(self, text: Column) -> Column:
         return self._udf(PatternSet.translate, "string")(text)
 
+    def _jvm(self, text: Column) -> tuple[Column, Column] | None:
+        """The text to search and the expression that finds any key, where the JVM can do it."""
+        if self.tokenizer or not 0 < len(self._map) <= MAX_REGEX_KEYS:
+            return None
+        found = self.to_regex(fuzzy_quotes=False, fuzzy_spaces=False, fffd_any=False)
+        return (text if self.case_sensitive else casefold(text)), F.lit(found)
+
     def findall_column(self, text: Column, allow_overlapping: bool = False) -> Column:
+        if not allow_overlapping and (jvm := self._jvm(text)):
+            return F.regexp_extract_all(*jvm, F.lit(0))
         return self._udf(lambda p, x: p.findall(x, allow_overlapping), "array<string>")(text)
 
+    def search_column(self, text: Column) -> Column:
+        """The first match's key, or null."""
+        jvm = self._jvm(text)
+        return F.regexp_substr(*jvm) if jvm else F.get(self.findall_column(text), 0)
+
     def findall_longest_column(self, text: Column) -> Column:
         return self._udf(PatternSet.findall_longest, "array<string>")(text)
 
     def match_table(self, df: DataFrame, text: str, *keep: str, allow_overlapping: bool = False) -> DataFrame:
         """(*keep, start, end, match): a row for each match."""
-        spans = self._udf(lambda p, x: [m._asdict() for m in p.finditer(x, allow_overlapping)], "array<struct<start:int,end:int,match:string>>")
+        spans = self._udf(lambda p, x: [{"start": m.start(), "end": m.end(), "match": m.str} for m in p.finditer(x, allow_overlapping)], "array<struct<start:int,end:int,match:string>>")
         return df.select(*keep, F.explode(spans(F.col(text))).alias("m")).select(*keep, "m.start", "m.end", "m.match")
 
     def count_column(self, text: Column) -> Column:
-        """The number of leftmost-longest matches, in the JVM: a regular expression with the longer keys first."""
-        keys = sorted(self._map, key=lambda k: (-len(k), k))
-        text = text if self.case_sensitive else F.lower(text)
-        return F.regexp_count(text, F.lit("|".join("\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E" for k in keys))) if keys else F.lit(0)
+        """The number of leftmost-longest matches."""
+        if not self._map:
+            return F.lit(0)
+        jvm = self._jvm(text)
+        return F.regexp_count(*jvm) if jvm else F.size(self.findall_column(text))
 
     # regular expressions
 
-    def to_regex(self, fuzzy_quotes: bool = True, fuzzy_spaces: bool = True, fffd_any: bool = True, boundary: bool = False) -> str:
+    def to_regex(self, fuzzy_quotes: bool = True, fuzzy_spaces: bool = True, fffd_any: bool = True, simplify: bool = True, boundary: bool = False) -> str:
         """A regular expression that finds any key, the longest at each place; common prefixes are factored out.
 
         ``fuzzy_spaces``: a run of blanks matches any white space, more than one any amount. ``fuzzy_quotes``:
         typographic quotes and primes match the ASCII ones too. ``fffd_any``: U+FFFD matches any character.
+        ``simplify``: single characters to choose from become a class, and groups of one item lose their brackets.
         """
         if self.tokenizer:
             raise ValueError("a regular expression needs keys of characters")
@@ -298,10 +356,11 @@ class PatternSet:
             if not arms:
                 return ""
             single = len(arms) > 1 and all(len(a) == 1 or re.fullmatch(r"\\.", a) for a in arms) and "." not in arms
+            single = single and simplify
             body = "[" + "".join(arms) + "]" if single else arms[0] if len(arms) == 1 else "(?:" + "|".join(arms) + ")"
             if not optional:
                 return body
-            atom = single or len(body) == 1 or re.fullmatch(r"\\.|\[[^\[\]]*\]", body) or (len(arms) > 1 and not single)
+            atom = simplify and (single or len(body) == 1 or re.fullmatch(r"\\.|\[[^\[\]]*\]", body) or (len(arms) > 1 and not single))
             return f"{body}?" if atom else f"(?:{body})?"
 
         out = part(sorted(self._map)) if self._map else "(?!)"

@@ -62,11 +62,23 @@ def word_set(vocab: str, queries: str, n_list: tuple[int, ...], filter_n: int, k
       SELECT query, rank::INT AS rank, word, round(similarity, 6) AS similarity FROM r WHERE rank <= {k}"""
 
 
-def osa(a: str, b: str) -> str:
+def extended(hyp: str, ref: str) -> str:
+    """Extended edit distance; the state holds the row and the visits, both with a place before the first letter."""
+    line = f"""list_reduce(range(1, len(h) + 1), lambda c, i: list_append(c, least(list_last(c) + 0.2, s[1][i] + CASE WHEN substring(h, i::INT, 1) = x THEN 0.0 ELSE 1.0 END, s[1][i + 1] + 1.0)), [s[1][1] + 1.0])"""
+    first = "list_position(list_transform(r, lambda v: round(v, 9)), list_min(list_transform(r, lambda v: round(v, 9))))"
+    step = f"""list_transform([{line}], lambda r: list_transform([{first}], lambda a: [
+      CASE WHEN x = ' ' THEN list_transform(r, lambda v: least(v, 2.0 + r[a])) ELSE r END, list_transform(s[2], lambda v, i: v + CASE WHEN i = a THEN 1.0 ELSE 0.0 END)])[1])[1]"""
+    start = "[list_transform(range(0, len(h) + 1), lambda i: CASE WHEN i = 0 THEN 0.0 ELSE 1.0 END), list_transform(range(0, len(h) + 1), lambda i: 0.0)]"
+    return f"""SELECT {hyp}, {ref}, least(1.0, (list_last(e[1]) + cover) / (len(g) + cover)) AS distance FROM (SELECT *, 0.3 * list_sum(list_transform(e[2], lambda v: abs(v - 1))) AS cover FROM (
+      SELECT *, list_reduce(list_transform(range(1, len(g) + 1), lambda j: [[ascii(substring(g, j::INT, 1))::DOUBLE]]), lambda s, y: list_transform([chr(y[1][1]::INT)], lambda x: {step})[1], {start}) AS e
+      FROM (SELECT *, ' ' || {hyp} || ' ' AS h, ' ' || {ref} || ' ' AS g FROM pairs)))"""
+
+
+def osa(a: str, b: str, swap: int = 1) -> str:
     """Optimal string alignment; the state holds the last two rows."""
     return f"""list_last(list_reduce(range(1, length({a}) + 1), lambda s, i: [s[2],
       list_reduce(range(1, length({b}) + 1), lambda c, j: list_append(c, least(s[2][j + 1] + 1, list_last(c) + 1,
         s[2][j] + (substring({a}, i::INT, 1) <> substring({b}, j::INT, 1))::BIGINT,
         CASE WHEN i > 1 AND j > 1 AND substring({a}, i::INT, 1) = substring({b}, (j - 1)::INT, 1) AND substring({a}, (i - 1)::INT, 1) = substring({b}, j::INT, 1)
-             THEN s[1][j - 1] + 1 ELSE 99999 END)), [i])],
+             THEN s[1][j - 1] + {swap} ELSE 99999 END)), [i])],
       [range(0, length({b}) + 1), range(0, length({b}) + 1)])[2])"""

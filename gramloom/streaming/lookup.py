@@ -24,13 +24,19 @@ def translate_stream(texts: DataFrame, patterns: PatternSet, text: str = "value"
 
 
 class GrowingIndex:
-    """An index that a stream of words adds to; a batch that is repeated adds nothing, as its words are known."""
+    """An index that a stream of words adds to; a batch that is repeated adds nothing, as its words are known.
 
-    def __init__(self, index: GramIndex) -> None:
-        self.index = index
+    Every ``compact_every`` batches its tables are written anew as one, so that they don't grow into long unions.
+    """
+
+    def __init__(self, index: GramIndex, compact_every: int = 16) -> None:
+        self.index, self.compact_every, self._batches = index, compact_every, 0
 
     def add_stream(self, words: DataFrame, word: str = "word") -> DataStreamWriter:
         def add(batch: DataFrame, _: int) -> None:
             self.index = self.index.add(batch, word)
+            self._batches += 1
+            if self._batches % self.compact_every == 0:
+                self.index = self.index.compact()
 
         return words.writeStream.foreachBatch(add)

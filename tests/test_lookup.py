@@ -165,3 +165,48 @@ def test_numbers_are_dense(spark):
     df = spark.range(1000).withColumn("v", F.xxhash64("id"))
     rows = numbered(df.repartition(7), [F.col("v")], "n", 5).orderBy("v").collect()
     assert [r.n for r in rows] == list(range(5, 1005))
+
+
+def test_columns_of_inner_names_stay(spark):
+    """Tables may have columns named like inner ones."""
+    own = {"_w": 1, "_f": 2, "_n": 3, "_r": 4, "_m": 5, "_key": 6, "_hit": 7, "_at": 8, "_part": 9, "_base": 10, "_each": 11}
+    df = spark.createDataFrame([("apple",), ("pear",)], "word string").withColumns({k: F.lit(v) for k, v in own.items()})
+    words = spark.createDataFrame([("apple", 1)], "word string, data int")
+    for found in (GramIndex.build(words).contains(df), WordSet(words).contains(df), RankedDictionary(words, data="data").contains(df), RankedDictionary(words, data="data").lookup(df), RankedDictionary(words).index(df)):
+        assert [c for c in found.columns if c in own] == [*own] and all(tuple(r[c] for c in own) == tuple(own.values()) for r in found.collect())
+    at = RankedDictionary(words).word_at(df.select(F.lit(0).alias("rank"), *own)).collect()
+    assert {r.word for r in at} == {"apple"} and at[0]["_r"] == 4
+
+
+def test_swaps_may_be_free(spark):
+    import itertools
+
+    from gramloom.functions.pairs import weighted_edit_distance
+
+    words = ["".join(x) for n in (1, 2, 3) for x in itertools.product("abc", repeat=n)]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    for distance, swap in ((0, 0), (1, 0), (1, 0.25)):
+        got = {(r["query"], r.word): r.distance for r in edit_lookup(df.withColumnRenamed("word", "query"), df, distance, transposition_cost=swap).collect()}
+        want = {(a, b): d for a in words for b in words if (d := weighted_edit_distance(a, b, transposition=swap)) <= distance}
+        assert got == want
+    with pytest.raises(ValueError):
+        edit_lookup(df.withColumnRenamed("word", "query"), df, 1, insertion_cost=0)
+
+
+def test_states_of_the_least_automaton(spark):
+    words = ["tap", "taps", "top", "tops", "a", "aps"]
+    ends = {}
+    for w in words:
+        for i in range(1, len(w) + 1):
+            ends.setdefault(w[:i], set()).add(w[i:])
+    states = {frozenset(x) for x in ends.values()}
+    known = RankedDictionary(spark.createDataFrame([(w,) for w in words], "word string"))
+    assert (known.count_nodes(), known.count_edges()) == (len(states), sum(len({t[0] for t in s if t}) for s in states))
+    none = RankedDictionary(spark.createDataFrame([], "word string"))
+    assert (none.count_nodes(), none.count_edges()) == (0, 0)
+
+
+def test_compact_keeps_results(spark, vocab, asked):
+    index = GramIndex.build(vocab.filter("o < 3")).add(vocab)
+    same = index.compact()
+    assert sorted(map(tuple, index.lookup(asked).collect())) == sorted(map(tuple, same.lookup(asked).collect()))

@@ -131,3 +131,55 @@ def test_streams(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(r.value for r in spark.table("translated").collect()) == ["h*", "y*w"]
+
+
+def test_matches_answer_like_those_of_regular_expressions():
+    (m,) = PatternSet.from_keys(["the"]).finditer("a the b")
+    assert (m.start(), m.end(), m.span(), m.regs, m.str, m.group(), m[0], str(m), len(m)) == (2, 5, (2, 5), ((2, 5),), "the", "the", "the", "the", 3)
+    for f in (m.start, m.end, m.span, m.group):
+        with pytest.raises(IndexError):
+            f(1)
+
+
+def test_case_folding_in_columns(spark):
+    p = PatternSet.fromkeys(["straße", "K"], case_sensitive=False)
+    df = spark.createDataFrame([("die straße und STRASSE, \u212a",), (None,), ("",)], "t string")
+    rows = df.select(p.count_column(F.col("t")).alias("n"), p.findall_column(F.col("t")).alias("m"), p.search_column(F.col("t")).alias("s")).collect()
+    assert [(r.n, r.m, r.s) for r in rows] == [(3, ["strasse", "strasse", "k"], "strasse"), (None, None, None), (0, [], None)]
+    assert [p.findall(r) for r in ("die straße und STRASSE, \u212a", "")] == [["strasse", "strasse", "k"], []]
+
+
+def test_columns_find_what_texts_do(spark):
+    r = random.Random(4)
+    for _ in range(4):
+        keys = {"".join(r.choices("ab[]^-&\\.*$é ~#", k=r.randint(1, 4))) for _ in range(12)}
+        p = PatternSet.fromkeys(keys)
+        texts = ["".join(r.choices("ab[]^-&\\.*$é ~#x", k=40)) for _ in range(20)]
+        df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", p.findall_column(F.col("t")).alias("m"), p.count_column(F.col("t")).alias("n"))
+        assert {x.t: (x.m, x.n) for x in df.collect()} == {t: (p.findall(t), len(p.findall(t))) for t in texts}
+
+
+def test_orders_of_keys():
+    p = PatternSet.fromkeys(["b", "B", "ab", "a", "A", "abc", "Z"])
+    assert p.sort_keys() == ["A", "a", "ab", "abc", "B", "b", "Z"]
+    assert p.sort_keys(ascending=False) == ["Z", "b", "B", "a", "ab", "abc", "A"]
+    assert p.sort_keys(case_sensitive=False) == ["A", "B", "Z", "a", "ab", "abc", "b"]
+
+
+def test_plain_expressions_find_the_same():
+    r = random.Random(8)
+    for _ in range(30):
+        p = PatternSet.fromkeys({"".join(r.choices("abc.", k=r.randint(1, 4))) for _ in range(8)})
+        plain, short = (re.compile(p.to_regex(simplify=s)) for s in (False, True))
+        assert "[" not in plain.pattern
+        for _ in range(20):
+            text = "".join(r.choices("abc.x", k=15))
+            assert plain.findall(text) == short.findall(text) == p.findall(text)
+
+
+def test_tables_of_replacements_are_measured_whole(spark, monkeypatch):
+    from gramloom.operators import patterns
+
+    monkeypatch.setattr(patterns, "MAX_BYTES", 100)
+    with pytest.raises(ValueError, match="bytes"):
+        PatternSet.from_table(spark.createDataFrame([("a", "x" * 200)], "key string, replacement string"))

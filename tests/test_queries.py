@@ -29,10 +29,21 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
+    assert len(got)
     if name in ORACLE_SQL:
         assert rows(got) == rows(duck.sql(ORACLE_SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ["fuzzy_self_join_words", "pair_scores", "shared_gram_similarity", "bow_distance"])
+def test_sums_do_not_depend_on_their_order(duck, name):
+    """The SQL gives the same rows with one thread and with several, again and again."""
+    found = set()
+    for threads in (1, 8, 8, 3):
+        duck.sql(f"SET threads = {threads}")
+        found.add(str(rows(duck.sql(ORACLE_SQL[name]).df())))
+    assert len(found) == 1
+
+
 def test_the_entry(spark):
     import __spark_entry__ as entry
 
