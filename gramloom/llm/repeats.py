@@ -43,7 +43,7 @@ from ._common import Store, bit_filter, flagged, lookup_join, table, utf8
 from ._keys import by_shard, passes, shard_bits, shared_keys, tasks
 from ._text import Buffer, chunks, equal_ranges, mix, range_hashes, ranges
 
-WINDOW, GRAM, SHARD_BYTES, TASK_SHARDS, FLUSH, SORTED_AT_ONCE, HEAVY = 50, 20, 4_000_000, 4, 8_000_000, 200_000, 256
+WINDOW, GRAM, SHARD_BYTES, TASK_SHARDS, FLUSH, SORTED_AT_ONCE, HEAVY = 50, 20, 4_000_000, 4, 8_000_000, 200_000, 32
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
