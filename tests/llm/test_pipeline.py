@@ -45,3 +45,26 @@ def test_registry():
 
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
     assert sorted(names, key=lambda n: int(n[2:].split("_")[0]) if n[2].isdigit() else 99) == ["op1_media", "op2_packing", "op3_secrets", "op4_main_text", "op5_near_duplicates", "op6_repeats", "op7_neighbours", "op8_warc", "op9_quality", "op10_mixing", "pipeline"]
+
+
+def test_stages_on_odd_tables(spark):
+    """Further columns with names of inner ones, nulls, repeated ids and rows, a text of over 1 MB, and no rows at all."""
+    from gramloom.llm._common import Store
+
+    own = {"spans": "mine", "base_spans": "own", "uid": 1, "h": "x", "parts": "p", "_flag": 2, "_size": 3, "_shard": 4, "_order": 5, "order": 6}
+    texts = ["a b c d e f g", None, "", "secret=abcdefgh1 here", "x" * 1_100_000, "one two three " * 80_000, "a b c d e f g"]
+    rows = [(None if i == 3 else i // 2, t, "en", [None, "s"][i % 2], None if t is None else len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({k: F.lit(v) for k, v in own.items()})
+    for start in (docs, docs.limit(0)):
+        store, now = Store(spark, "odd"), start
+        for name, stage in pipeline.STAGES:
+            now = store.keep(stage(spark, now, SF), name)
+            if name != "packing":
+                assert now.columns == docs.columns
+                assert all(tuple(r[c] for c in own) == tuple(own.values()) for r in now.collect())
+        assert bool(now.count()) == bool(start.count())
+        store.close()
+    left = pipeline.near_duplicates_stage(spark, docs, SF).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, (r.text or "")[:3]) for r in left) == [(False, 0, "sec"), (True, 0, ""), (True, 0, "a b"), (True, 1, ""), (True, 2, "one"), (True, 2, "xxx")]
+    clean = pipeline.secrets_stage(spark, docs, SF).filter("text like '%[secret]%'").collect()
+    assert [(r.text, r.n_chars, r.spans) for r in clean] == [("[secret] here", 13, "mine")]
