@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import gram_map, gram_movers_distance, gram_similarity, grams, num_grams, profile, shared_grams, shared_similarity
-from ..plans.settle import spread, unused
+from ..plans.settle import salted_join, spread, unused
 
 
 def gram_table(words: DataFrame, word: str = "word", n: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -29,7 +29,7 @@ def shared_gram_similarity(left: DataFrame, right: DataFrame, n: int = 2, word:
     """
     a = gram_table(left.select(word).distinct(), word, n).select(F.col(word).alias("left"), "gram", F.col("pos").alias("x"))
     b = gram_table(right.select(word).distinct(), word, n).select(F.col(word).alias("right"), "gram", F.col("pos").alias("y"))
-    return a.join(b, "gram").groupBy("left", "right").agg(F.sum(gram_similarity(F.col("x"), F.col("y"))).alias("similarity"))
+    return salted_join(a, b, ["gram"], "right").groupBy("left", "right").agg(F.sum(gram_similarity(F.col("x"), F.col("y"))).alias("similarity"))
 
 
 def fuzzy_self_join(words: DataFrame, min_similarity: float, n: int = 2, word: str = "word") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import END, START, emd_1d, gram_map, gram_movers_distance, gram_similarity, grams, profile, shared_grams, sizes
 from ..functions.text import casefold
-from ..plans.settle import numbered, settled, spread, unused
+from ..plans.settle import numbered, salted_join, settled, spread, unused
 
 SCORINGS = ("v3", "v5", "v5b", "v6")
 
@@ -172,7 +172,7 @@ class GramIndex:
         With ``bound``, words are left out whose greatest possible score is below the bound-th least possible one.
         """
         wanted = folded.select("qid", F.explode(F.array_distinct(grams(F.col("word"), self.filter_ngram_size))).alias("gram"))
-        pairs = spread(wanted.join(self.filters, "gram").select("qid", "word_id").distinct(), "word_id")
+        pairs = spread(salted_join(wanted, self.filters, ["gram"], "word_id").select("qid", "word_id").distinct(), "word_id")
         maps = self.vocab_table.select("word_id", F.length("word").alias("length"), *(gram_map(profile(F.col("word"), n)).alias(f"m{n}") for n in self.ngram_sizes))
         asked = folded.select("qid", F.length("word").alias("q_length"), *(profile(F.col("word"), n).alias(f"p{n}") for n in self.ngram_sizes))
         pairs = pairs.join(maps, "word_id").join(asked, "qid")
@@ -202,7 +202,7 @@ class GramIndex:
     def _scored_by_join(self, folded: DataFrame, dim: float, normalize: bool, v3: bool, bound: int) -> DataFrame:
         """The same of all words that share any gram, by a join of postings."""
         q = _postings(folded, self.ngram_sizes, "qid", "word").select("qid", "n", "gram", F.struct("n", "first").alias("hit"), F.col("pos").alias("x"), F.length("word").alias("q_length"))
-        hits = spread(q, "n", "gram").join(self.postings.withColumnRenamed("pos", "y"), ["n", "gram"])
+        hits = salted_join(q, self.postings.withColumnRenamed("pos", "y"), ["n", "gram"], "word_id")
         own, other = (F.when(F.col("n") > 1, F.col(c) + 3 - F.col("n")).otherwise(F.col(c) + 2) for c in ("q_length", "length"))
         if v3:
             value, total = F.greatest(F.size("x"), F.size("y")) - emd_1d(F.col("x"), F.col("y")), own

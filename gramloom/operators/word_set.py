@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import gram_map, grams, profile, shared_grams, shared_similarity, sizes
 from ..functions.text import casefold, normalize_nfc
-from ..plans.settle import numbered, settled, spread, unused
+from ..plans.settle import numbered, salted_join, settled, spread, unused
 
 
 class WordSet:
@@ -142,7 +142,7 @@ class WordSet:
         each = lambda w: F.explode(F.concat(*(one(w, n) for n in met))).alias("g")
         if self._filters is None:
             self._filters = settled(self.members.select("word_id", each("norm")))
-        pairs = spread(asked.select("query", each("word")).join(self._filters, "g").select("query", "word_id").distinct(), "word_id")
+        pairs = spread(salted_join(asked.select("query", each("word")), self._filters, ["g"], "word_id").select("query", "word_id").distinct(), "word_id")
         maps = self.members.select("word_id", F.length("norm").alias("length"), *(gram_map(profile(F.col("norm"), n, True)).alias(f"m{n}") for n in n_list))
         mine = asked.select("query", F.length("word").alias("q_length"), *(profile(F.col("word"), n, True).alias(f"p{n}") for n in n_list))
         pairs = pairs.join(maps, "word_id").join(mine, "query")

@@ -46,6 +46,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+#: Parts of a hot key.
+SALTS = 16
+
+
+def salted_join(few: DataFrame, many: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Inner join in which each key's rows of ``many`` are dealt by ``by`` over SALTS parts, and each part meets all of the key's rows of ``few``."""
+    salt = "_salt"
+    while salt in few.columns or salt in many.columns:
+        salt += "_"
+    parts = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return parts.join(many.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")), [*keys, salt]).drop(salt)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of ``df`` has, made from ``names``."""
     taken, out = {c.lower() for c in df.columns}, []
