@@ -41,8 +41,8 @@ def _checked(words: DataFrame) -> DataFrame:
 class GramIndex:
     """A dictionary for approximate lookup; see ``build``."""
 
-    def __init__(self, vocab: DataFrame, postings: DataFrame, filters: DataFrame | None, n: tuple[int, ...], case_sensitive: bool, filter_n: int) -> None:
-        self.vocab_table, self.postings, self.filters = vocab, postings, filters
+    def __init__(self, vocab: DataFrame, postings: DataFrame | None, filters: DataFrame | None, n: tuple[int, ...], case_sensitive: bool, filter_n: int) -> None:
+        self.vocab_table, self._postings, self.filters = vocab, postings, filters
         self.ngram_sizes, self.case_sensitive, self.filter_ngram_size = n, case_sensitive, filter_n
 
     @classmethod
@@ -63,9 +63,15 @@ class GramIndex:
     @classmethod
     def _of(cls, vocab: DataFrame, n_list: tuple[int, ...], case_sensitive: bool, filter_n: int) -> GramIndex:
         vocab = settled(vocab)
-        postings = settled(_postings(vocab, n_list, "word_id", "word").select("n", "gram", "word_id", "pos", F.length("word").alias("length")))
         filters = settled(vocab.select("word_id", F.explode(F.array_distinct(grams(F.col("word"), filter_n))).alias("gram"))) if filter_n else None
-        return cls(vocab, postings, filters, n_list, case_sensitive, filter_n)
+        return cls(vocab, None, filters, n_list, case_sensitive, filter_n)
+
+    @property
+    def postings(self) -> DataFrame:
+        """(n, gram, word_id, pos, length), made when they are first asked for: lookups with a filter don't need them."""
+        if self._postings is None:
+            self._postings = settled(_postings(self.vocab_table, self.ngram_sizes, "word_id", "word").select("n", "gram", "word_id", "pos", F.length("word").alias("length")))
+        return self._postings
 
     def _fold(self, words: DataFrame) -> DataFrame:
         return words if self.case_sensitive else words.withColumn("word", casefold(F.col("word")))
@@ -77,7 +83,7 @@ class GramIndex:
         start = (self.vocab_table.agg(F.max("word_id")).first()[0] if self.size() else -1) + 1
         more = GramIndex._of(numbered(fresh, [F.col("word")], "word_id", start).select("word_id", "word"), self.ngram_sizes, self.case_sensitive, self.filter_ngram_size)
         both = lambda a, b: a.unionByName(b) if a is not None else None
-        return GramIndex(both(self.vocab_table, more.vocab_table), both(self.postings, more.postings), both(self.filters, more.filters), self.ngram_sizes, self.case_sensitive, self.filter_ngram_size)
+        return GramIndex(both(self.vocab_table, more.vocab_table), both(self._postings, None if self._postings is None else more.postings), both(self.filters, more.filters), self.ngram_sizes, self.case_sensitive, self.filter_ngram_size)
 
     def contains(self, words: DataFrame, word: str = "word") -> DataFrame:
         """Adds ``found`` to each row."""
@@ -88,7 +94,7 @@ class GramIndex:
 
     def compact(self) -> GramIndex:
         """The same index with each table written anew as one, after many calls of ``add``."""
-        return GramIndex(settled(self.vocab_table), settled(self.postings), None if self.filters is None else settled(self.filters), self.ngram_sizes, self.case_sensitive, self.filter_ngram_size)
+        return GramIndex(settled(self.vocab_table), None if self._postings is None else settled(self._postings), None if self.filters is None else settled(self.filters), self.ngram_sizes, self.case_sensitive, self.filter_ngram_size)
 
     def size(self) -> int:
         return self.vocab_table.count()
