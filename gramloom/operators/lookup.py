@@ -56,6 +56,7 @@ class GramIndex:
         if filter_n < 0:
             raise ValueError("filter_n must not be negative")
         given = words.select(F.col(word).alias("word"), (F.col(order) if order else F.lit(0)).alias("o"))
+        given = given.groupBy("word").agg(F.min("o").alias("o"))  # each spelling is folded once
         given = _checked(given.withColumn("word", F.col("word") if case_sensitive else casefold(F.col("word"))))
         vocab = numbered(given.groupBy("word").agg(F.min("o").alias("o")), [F.col("o"), F.col("word")] if order else [F.col("word")], "word_id").select("word_id", "word")
         return cls._of(vocab, n_list, case_sensitive, filter_n)
