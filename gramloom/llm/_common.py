@@ -90,11 +90,15 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight:
 
     ``total`` is the number of rows on the left. Keys with at least total/HEAVY rows, of which there
     are at most HEAVY, come by broadcast, and their rows are taken out before the rest is shuffled; no key of
-    the rest holds more than total/HEAVY rows, so its shuffle has no hot partition.
+    the rest holds more than total/HEAVY rows, so its shuffle has no hot partition. Where the left has ``weight``
+    too, the same for each key, its rows are told apart by that, without a join.
     """
     bar = max(total // HEAVY, 64)
     heavy = right.filter(F.col(weight) >= bar)
     light = right.filter(F.col(weight) < bar)
+    if weight in left.columns:
+        few, rest = left.filter(F.col(weight) >= bar), left.filter(F.col(weight) < bar)
+        return few.join(F.broadcast(heavy.drop(weight)), list(keys)).unionByName(rest.join(light.drop(weight), list(keys)))
     rest = left.join(F.broadcast(heavy.select(*keys)), list(keys), "left_anti")
     return left.join(F.broadcast(heavy), list(keys)).unionByName(rest.join(light, list(keys)))
 

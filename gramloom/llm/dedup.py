@@ -198,9 +198,9 @@ def _confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, store: Stor
 
 
 def _hub_pairs(lists: DataFrame, total: int, turn: int) -> DataFrame:
-    """Each class of a list with the list's hub; ``turn`` picks the hubs. Needs (token, uid, n, label)."""
-    lists = lists.select("token", "uid", "n", "label")
-    hub = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("h") if turn else F.lit(0).alias("h"), "uid", "n", "label")).alias("hub"), F.count("*").alias("size"))
+    """Each class of a list with the list's hub; ``turn`` picks the hubs. Needs (token, uid, n, label, size)."""
+    lists = lists.select("token", "uid", "n", "label", "size")
+    hub = lists.groupBy("token", "size").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("h") if turn else F.lit(0).alias("h"), "uid", "n", "label")).alias("hub"))
     rows = lookup_join(lists, hub, ["token"], "size", total)
     rows = rows.filter((F.col("uid") != F.col("hub.uid")) & (F.col("label") != F.col("hub.label")) & _long_enough(F.col("n"), F.col("hub.n")))
     return rows.select(F.least("uid", "hub.uid").alias("x"), F.greatest("uid", "hub.uid").alias("y"))
@@ -220,9 +220,9 @@ def _block_links(lists: DataFrame, total: int, classes: DataFrame, texts: DataFr
     The classes of all lists that are led by one component form its arena. The ones outside are compared
     with all, in blocks of bounded size; a block gives a link only where it joins two of its components.
     """
-    lists = lists.select("token", "uid", "n", "label")
-    by = lists.groupBy("token", "label").agg(F.count("*").alias("c"))
-    lead = by.groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("arena"), F.sum("c").alias("size"))
+    lists = lists.select("token", "uid", "n", "label", "size")
+    by = lists.groupBy("token", "size", "label").agg(F.count("*").alias("c"))
+    lead = by.groupBy("token", "size").agg(F.max(F.struct("c", "label"))["label"].alias("arena"))
     rows = lookup_join(lists, lead, ["token"], "size", total).groupBy("arena", "uid").agg(F.max((F.col("label") != F.col("arena")).cast("int")).alias("out"), F.min("label").alias("label"), F.min("n").alias("n"))
     rows = store.keep(rows, "arena-rows")
     part = lambda c, w: F.greatest(F.ceil(F.sum(c) / BLOCK), F.ceil(F.sum(c * w) * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
@@ -283,15 +283,19 @@ def near_duplicates(docs: DataFrame, store: Store, id_col: str = "doc_id", text_
     if total:
         wanted = classes.join(lists.select("uid").distinct(), "uid", "left_semi")
         texts = store.keep(text_table(docs, wanted, id_col, text_col), "texts")
-        links = None
+        links, left = None, lists
         for turn in range(ROUNDS):
-            now = lists.withColumn("label", F.col("uid")) if labels is None else _open_lists(lists, labels, total, store, f"open{turn}").filter(F.col("size") > SMALL)
-            if labels is not None and not now.limit(1).count():
-                break
+            if labels is None:
+                now = lists.withColumn("label", F.col("uid"))
+            else:  # components only grow, so a list that is in one stays so
+                left = _open_lists(left, labels, total, store, f"open{turn}")
+                now = left.filter(F.col("size") > SMALL)
+                if not now.limit(1).count():
+                    break
             new = _confirm(_hub_pairs(now, total, turn), classes, texts, store, f"hub{turn}", match)
             links = new if links is None else links.unionByName(new)
             labels = components(links, store, f"labels{turn}")
-        rest = _open_lists(lists, labels, total, store, "open")
+        rest = _open_lists(left, labels, total, store, "open")
         links = links.unionByName(_confirm(_small_pairs(rest.filter(F.col("size") <= SMALL)), classes, texts, store, "small", match))
         long = rest.filter(F.col("size") > SMALL)
         if long.limit(1).count():
@@ -332,8 +336,8 @@ def drop_near_duplicates(docs: DataFrame, store: Store, id_col: str = "doc_id",
 
 def _open_lists(lists: DataFrame, labels: DataFrame, total: int, store: Store, name: str) -> DataFrame:
     """(token, uid, n, label, size) of the lists whose classes are in several components."""
-    rows = store.keep(lists.select("token", "uid", "n").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid")), f"{name}-rows")
-    several = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token", "size")
+    rows = store.keep(lists.select("token", "uid", "n", "size").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid")), f"{name}-rows")
+    several = rows.groupBy("token", "size").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token", "size")
     return store.keep(lookup_join(rows, several, ["token"], "size", total), name)
 
 

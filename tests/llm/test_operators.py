@@ -61,6 +61,10 @@ def test_lookup_join_takes_heavy_and_light_keys(spark):
     left = spark.range(5000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"), "id")
     right = left.groupBy("k").agg(F.count("*").alias("rows"))
     assert brute.counted(lookup_join(left, right, ["k"], "rows", 5000).collect()) == brute.counted(left.join(right, "k").select("k", "id", "rows").collect())
+    sized = left.join(right, "k").localCheckpoint()
+    out = lookup_join(sized, right.withColumn("best", -F.col("k")), ["k"], "rows", 5000)
+    assert "LeftAnti" not in out._jdf.queryExecution().toString() and out.columns == ["k", "id", "rows", "best"]
+    assert brute.counted(out.collect()) == brute.counted(sized.withColumn("best", -F.col("k")).collect())
 
 
 def test_filter_lets_all_of_its_keys_pass(spark):
@@ -340,6 +344,31 @@ def test_long_lists_are_compared_in_blocks(spark, store, monkeypatch):
     assert got == want and 1 < len({c for _, c in want.values()}) < 140
 
 
+def test_lists_in_one_component_are_not_read_again(spark, monkeypatch):
+    """A round reads the lists that the round before it left open, and all links of a dense group are found."""
+    kept = {}
+
+    class Counted(Store):
+        def keep(self, df, name, codec="zstd"):
+            out = super().keep(df, name, codec)
+            kept[name] = out.count()
+            return out
+
+    r = random.Random(5)
+    rows = []
+    for group in range(3):
+        for i in range(60):
+            words = [f"w{group}x{k}" for k in range(60)]
+            for _ in range(r.randint(0, 2 + 2 * group)):
+                words[r.randrange(60)] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    monkeypatch.setattr(dedup, "SMALL", 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in dedup.near_duplicates(df, Counted(spark, "rounds")).collect()}
+    assert got == brute.components(rows)
+    assert kept["open1-rows"] == kept["lists"] > kept["open1"] == kept["open2-rows"] and kept["open-rows"] == kept["open2"] > 0
+
+
 def test_near_duplicates_of_odd_tables(spark, store):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words in here now"), (None, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (5, "x"), (6, "X"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
