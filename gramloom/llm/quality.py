@@ -7,7 +7,8 @@ these tail probabilities; a document is kept if P(grade >= 2) reaches the model'
 
 The cut-off comes from ratings that the fit doesn't see, every ``HELD``-th of the sample: the one that parts grade 2
 from the others best there (clean ones kept less others kept, of each kind the share), in the middle of the gap
-between the ratings on either side.
+between the ratings on either side. Fewer than ``CROSSED`` ratings are all held out in turn, a fold at a time, since a
+fifth of them is too few to part; the model is then fitted to all of them.
 
 A word's features are its core (without punctuation at its ends), the core's first bytes (``HEADS``),
 the punctuation at its end, whether it is in capitals, and whether it repeats the word before. Each is
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 from ._common import table, unused, utf8
 from ._text import Buffer, chunks, mix
 
-BITS, HEADS, LEAST, SMOOTH, SAMPLE, STEPS, HELD = 20, (4, 6), 5, 20, 8000, 250, 5
+BITS, HEADS, LEAST, SMOOTH, SAMPLE, STEPS, HELD, CROSSED = 20, (4, 6), 5, 20, 8000, 250, 5, 2000
 #: Values of a word's features: core, heads, then punctuation, capitals and repetition, which a whole text may share.
 SCALE = np.array([30.0, *[30.0] * len(HEADS), 2.0, 2.0, 2.0])
 #: The prior on the distance of the thresholds: its strength, and its middle.
@@ -197,22 +198,15 @@ def _fitted(rated: DataFrame, steps: int) -> DataFrame:
     """(cols, weights, t0, t1, keep_at) of a model fitted to the texts (grade, text) of one partition, in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grades, found, held, seen = [], [], [], 0
+        parts, seen = [], 0
         for batch in batches:
-            for k in range(0, len(batch), 250):  # a multiple of HELD
+            for k in range(0, len(batch), 250):
                 part = batch.slice(k, 250)
-                grade, texts = part.column(0).to_pylist(), [x.encode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()]
-                apart = [(seen + i) % HELD == HELD - 1 for i in range(len(texts))]
+                texts = [x.encode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()]
+                parts.append((block_of(texts), part.column(0).to_pylist(), seen))
                 seen += len(texts)
-                block = block_of(texts)
-                held.append(_some(block, grade, apart))
-                kept = _some(block, grade, [not x for x in apart])
-                found.append(kept[0])
-                grades += kept[1]
-        if grades:
-            model = fit(np.array(grades), found, steps)
-            scores = np.concatenate([_block_scores(block, model.weights) for block, _ in held])
-            keep_at = cut_off(model.tails(scores)[1], np.array([g for _, own in held for g in own], np.int64))
+        if seen:
+            model, keep_at = fitted(parts, steps)
             cols = np.flatnonzero(model.weights).astype("<i4")
             row = (cols.tobytes(), model.weights[cols].astype("<f4").tobytes(), *model.thresholds, keep_at)
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["cols", "weights", "t0", "t1", "keep_at"])
@@ -220,6 +214,44 @@ def _fitted(rated: DataFrame, steps: int) -> DataFrame:
     return rated.mapInArrow(run, "cols binary, weights binary, t0 double, t1 double, keep_at double")
 
 
+#: A block, its texts' grades, and the number of its first text.
+Part = tuple[Block, list[int], int]
+
+
+def fitted(parts: list[Part], steps: int = STEPS) -> tuple[Model, float]:
+    """A model and its cut-off; ``parts`` is used up."""
+    if sum(len(grade) for _, grade, _ in parts) >= CROSSED:
+        blocks, grades, held, own = _split(parts, HELD - 1, spend=True)
+        model = fit(np.array(grades), blocks, steps)
+        return model, cut_off(_clean(model, held), np.array(own))
+    clean, graded = [np.empty(0)], []
+    for fold in range(HELD):
+        blocks, grades, held, own = _split(parts, fold)
+        if grades and own:
+            clean.append(_clean(fit(np.array(grades), blocks, steps), held))
+            graded += own
+    every = [g for _, grade, _ in parts for g in grade]
+    return fit(np.array(every), [block for block, _, _ in parts], steps), cut_off(np.concatenate(clean), np.array(graded, np.int64))
+
+
+def _split(parts: list[Part], fold: int, spend: bool = False) -> tuple[list[Block], list[int], list[Block], list[int]]:
+    """Blocks and grades of the texts outside a fold, then of those in it; ``spend`` frees each part when it is split."""
+    blocks, grades, held, own = [], [], [], []
+    for i in range(len(parts)):
+        block, grade, first = parts.pop(0) if spend else parts[i]
+        apart = [(first + j) % HELD == fold for j in range(len(grade))]
+        for chosen, to, marks in ((apart, held, own), ([not x for x in apart], blocks, grades)):
+            some, theirs = _some(block, grade, chosen)
+            to.append(some)
+            marks += theirs
+    return blocks, grades, held, own
+
+
+def _clean(model: Model, blocks: list[Block]) -> np.ndarray:
+    """The probability of grade 2 of each text of the blocks."""
+    return model.tails(np.concatenate([_block_scores(block, model.weights) for block in blocks]))[1]
+
+
 def _some(block: Block, grades: list[int], chosen: list[bool]) -> tuple[Block, list[int]]:
     """The chosen texts of a block, and their grades."""
     cols, values, at = block

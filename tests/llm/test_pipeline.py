@@ -68,3 +68,13 @@ def test_stages_on_odd_tables(spark):
     assert sorted((r.doc_id is not None, r.doc_id or 0, (r.text or "")[:3]) for r in left) == [(False, 0, "sec"), (True, 0, ""), (True, 0, "a b"), (True, 1, ""), (True, 2, "one"), (True, 2, "xxx")]
     clean = pipeline.secrets_stage(spark, docs, SF).filter("text like '%[secret]%'").collect()
     assert [(r.text, r.n_chars, r.spans) for r in clean] == [("[secret] here", 13, "mine")]
+
+
+def test_few_ratings_are_all_held_out_in_turn(spark):
+    """With 87 ratings, nearly all clean documents pass the fitted cut-off, and no toxic or bad one does."""
+    labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    from gramloom.llm import quality
+
+    keep = {r.doc_id: r.keep for r in quality.op9_quality(spark, SF).collect()}
+    clean = [keep[i] for i, x in labels.items() if x == (1, 0)]
+    assert sum(clean) / len(clean) > 0.98 and not any(keep[i] for i, x in labels.items() if x != (1, 0))
